@@ -11,7 +11,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,3 +133,24 @@ def with_rank(scratch: Scratch, df: DataFrame, group: list[str], order: list[Col
         match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     out = laid.join(right, match, "inner").withColumn(name, F.col("_place") + F.col("_start"))
     return out.select(*columns, name)
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    Spark serves the archive to executors itself, so nothing has to be installed
+    or mounted on them.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gleaner-code-")) / "gleaner.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, f"gleaner/{file.relative_to(package).as_posix()}")
+    spark.sparkContext.addPyFile(str(archive))

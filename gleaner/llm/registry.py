@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import mixing
+from gleaner.llm import chat, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op7_format_chats": chat.op7_format_chats,
+    "op9_pack_sequences": packing.op9_pack_sequences,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op7_format_chats": chat.OP7_SQL,
 }

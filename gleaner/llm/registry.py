@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import chat, mixing, packing
+from gleaner.llm import chat, mixing, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shard_documents": sharding.op1_shard_documents,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op7_format_chats": chat.op7_format_chats,
     "op9_pack_sequences": packing.op9_pack_sequences,
 }

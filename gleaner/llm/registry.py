@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import chat, mixing, neardup, packing, quality, sharding, substring
+from gleaner.llm import chat, forest, mixing, neardup, packing, pivots, quality, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_pivot_search": pivots.op10_pivot_search,
     "op1_shard_documents": sharding.op1_shard_documents,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_forest_search": forest.op4_forest_search,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_format_chats": chat.op7_format_chats,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_pivot_search": pivots.OP10_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op6_near_duplicates": neardup.OP6_SQL,
     "op7_format_chats": chat.OP7_SQL,

@@ -21,3 +21,8 @@ def word_count(text: Column) -> Column:
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast hint behind a checked row count; beyond it Spark joins by shuffle."""
     return F.broadcast(df) if rows <= most else df
+
+
+def wrapped(docs: DataFrame, *needed: str) -> DataFrame:
+    """Columns ``needed`` beside a struct ``row`` of all, so that no name can clash with a helper's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)

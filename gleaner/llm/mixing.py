@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import broadcast_if, table, word_count
+from gleaner.llm.common import broadcast_if, table, word_count, wrapped
 from gleaner.runtime import Scratch
 
 #: Sources up to which the per-source table is broadcast (about 200 bytes each).
@@ -152,8 +152,7 @@ def mix_documents(docs: DataFrame, **settings: object) -> DataFrame:
     Rows without words stay once: they add no words to any source.
     """
     decided = mix(docs, **settings)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    sized = row.select("row", "row.doc_id", "row.text", "row.source").select("row", *_narrow_columns(decided.seed))
+    sized = wrapped(docs, "doc_id", "text", "source").select("row", *_narrow_columns(decided.seed))
     taken = decided.apply(sized).where(F.col("copies") > 0)
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table
+from gleaner.llm.common import table, wrapped
 from gleaner.llm.words import Words, mix, slices, window_hashes
 from gleaner.runtime import Scratch, ship_code
 
@@ -240,9 +240,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = Scratch(docs.sparkSession, "kept").write(kept)
     ids = kept.where(F.col("doc_id").isNotNull())
     repeated = not ids.groupBy("doc_id").count().where("count > 1").isEmpty()
-    gone = docs.where(F.col("doc_id").isNotNull()).join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
-    gone = gone.dropDuplicates(["doc_id"]) if repeated else gone
-    return gone.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = wrapped(docs, "doc_id")
+    stay = rows.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
+    stay = stay.dropDuplicates(["doc_id"]) if repeated else stay
+    return stay.unionByName(rows.where(F.col("doc_id").isNull())).select("row.*")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

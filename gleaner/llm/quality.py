@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table
+from gleaner.llm.common import table, wrapped
 
 #: Labelled rows that a fit looks at, at most (about; picked by a hash of doc_id).
 FIT_ROWS = 20_000
@@ -48,11 +48,16 @@ def features(counts: dict[str, Column]) -> dict[str, Column]:
 
 
 def with_features(docs: DataFrame, prefix: str = "_f_") -> tuple[DataFrame, list[str]]:
-    """Add the features in two steps, so that each statistic is computed once a row."""
+    """Add the features in two steps, so that each statistic is computed once a row.
+
+    The steps are generated rows of one element, through which the optimizer can't
+    push a later filter; else it would copy the statistics into each condition.
+    """
     counts = statistics(F.col("text"))
-    wide = docs.select("*", *[c.alias(f"_s_{n}") for n, c in counts.items()])
+    wide = docs.select("*", F.inline(F.array(F.struct(*[c.alias(f"_s_{n}") for n, c in counts.items()]))))
     made = features({n: F.col(f"_s_{n}") for n in counts})
-    return wide.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(prefix + n) for n, c in made.items()]), list(made)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return wide.select(*own, F.inline(F.array(F.struct(*[c.alias(prefix + n) for n, c in made.items()])))), list(made)
 
 
 Rule = tuple[tuple[int, float, bool], ...]  # (feature, threshold, above)
@@ -189,6 +194,12 @@ def score_documents(docs: DataFrame, model: RuleModel) -> DataFrame:
     return wide.select(*[F.col(f"`{c}`") for c in docs.columns], model.score().alias("score"))
 
 
+def keep_good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that a model fitted on ``labels`` scores at ``threshold`` or more; same columns."""
+    model = fit_rules(docs, labels)
+    return score_documents(wrapped(docs, "text"), model).where(F.col("score") >= threshold).select("row.*")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_rules(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import chat, forest, mixing, neardup, packing, pivots, quality, sharding, substring
+from gleaner.llm import chat, forest, licenses, mixing, neardup, packing, pivots, quality, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pivot_search": pivots.op10_pivot_search,
     "op1_shard_documents": sharding.op1_shard_documents,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_forest_search": forest.op4_forest_search,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_near_duplicates": neardup.op6_near_duplicates,

@@ -59,8 +59,9 @@ def balanced_shards(docs: DataFrame, link: str, shards: int = 24, rounds: int =
 
     Rows with a null link have no neighbours. Repeated rows and repeated or null
     ids are rows of their own. An empty table gives no rows. Other columns are
-    carried along.
+    carried along; columns that are called shard or slot are replaced.
     """
+    docs = docs.drop("shard", "slot")
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
     names = docs.columns

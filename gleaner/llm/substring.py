@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table
+from gleaner.llm.common import table, wrapped
 from gleaner.llm.words import slices, window_hashes
 from gleaner.runtime import Scratch, ship_code
 
@@ -135,9 +135,10 @@ def remove_repeats_from(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents themselves with repeated windows cut out of ``text``; same columns."""
     results, _ = remove_repeats(docs, window)
     changed = results.where("n_removed > 0").select(F.col("text_key").alias("_key"), F.col("kept_text").alias("_kept"))
-    joined = docs.withColumn("_own", F.unhex(F.md5(F.col("text").cast("binary")))).join(changed, F.col("_own") == F.col("_key"), "left")
-    new = F.when(F.col("_key").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    return joined.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    rows = wrapped(docs, F.unhex(F.md5(F.col("text").cast("binary"))).alias("_own"))
+    joined = rows.join(changed, F.col("_own") == F.col("_key"), "left")
+    new = F.when(F.col("_key").isNotNull(), F.col("_kept")).otherwise(F.col("row.text"))
+    return joined.select(*[new.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_cut_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ SLICE_BYTES = 2 << 20
 _BASES = (0x9E3779B97F4A7C15 & ~7 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 5)  # 5 modulo 8: powers repeat late
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For words without punctuation: every ASCII byte that is not a letter or digit parts them.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,7 +73,7 @@ class Words:
         return np.diff(self.first)
 
 
-def slices(column: pa.Array, lower: bool = False) -> Iterator[Words]:
+def slices(column: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE) -> Iterator[Words]:
     """The words of a string column, a few texts at a time. Null texts have none."""
     if not len(column):
         return
@@ -82,13 +84,13 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[Words]:
     at = 0
     while at < len(column):
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
-        yield _words(data, offsets[at : stop + 1], range(at, stop), lower)
+        yield _words(data, offsets[at : stop + 1], range(at, stop), lower, breaks)
         at = stop
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, rows: range, lower: bool) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, rows: range, lower: bool, breaks: np.ndarray) -> Words:
     low, high = int(offsets[0]), int(offsets[-1])
-    space = _SPACE[data[low:high]]
+    space = breaks[data[low:high]]
     edge = np.zeros(high - low + 1, dtype=bool)
     edge[offsets - low] = True
     solid = ~space
@@ -122,7 +124,3 @@ def window_hashes(hashes: np.ndarray, length: int, which: int = 0) -> np.ndarray
     np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
     return mix((sums[length:] - sums[:n]) * inverse[:n] + np.uint64(length))
 
-
-def text_of_word(words: Words) -> np.ndarray:
-    """Of each word the place of its text among the slice's texts."""
-    return np.repeat(np.arange(len(words.rows)), words.counts)

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lexical boost: at most WEIGHT, half of it at PIVOT.
 BOOST_WEIGHT, BOOST_PIVOT = 0.15, 10.0
@@ -27,7 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / F.when(size == 0, F.lit(1.0)).otherwise(size))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cosine_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same, for wide vectors and many pairs: one matrix operation per batch."""
     x, y = np.array(a.tolist(), dtype=np.float64), np.array(b.tolist(), dtype=np.float64)

@@ -56,7 +56,7 @@ def index_source(store: Store, source: SourceConfig, embedder, force: bool = Fal
         chunks = scratch.write(make_chunks(changed, source, embedder))
         counts = chunks.groupBy(F.col("source_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
     except Exception as e:  # the service or a vector; old rows stay
-        failed = str(e).split("\n")[0][:500]
+        failed = (str(e).strip() or type(e).__name__).split("\n")[0][:500]
     outcome = changed.select("path").join(counts, "path", "left").select(
         "path", F.lit("error").alias("status") if failed else F.when(F.col("n").isNull(), "empty").otherwise("embedded").alias("status"),
         F.coalesce("n", F.lit(0)).alias("chunk_count"), F.lit(failed).cast("string").alias("error"))

@@ -12,6 +12,7 @@ import re
 import subprocess
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,8 +142,6 @@ def read_files(files: DataFrame) -> DataFrame:
     Runs where the paths are: the names come from ``walk``, hidden ones included,
     which Spark's own file listing would skip.
     """
-    import pandas as pd
-
     @F.pandas_udf("struct<content:binary,error:string>")
     def load(paths: pd.Series) -> pd.DataFrame:
         rows = []

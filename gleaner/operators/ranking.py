@@ -28,6 +28,15 @@ def pool_size(k: int) -> int:
     return max(4 * k, 50)
 
 
+def is_small(queries: DataFrame) -> bool:
+    """Whether the queries are few enough to be broadcast. Looks at no more rows than that."""
+    return queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+
+
+def _hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def _checked(k: int) -> int:
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -50,8 +59,11 @@ def _rank(by: list[str], score: str, cut: int) -> tuple[Column, Column]:
 
 
 def vector_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, source_name, id, cosine) of all pairs."""
-    pairs = corpus.select("source_name", "id", "vector").join(F.broadcast(queries.select("query_id", "query_vector")))
+    """(query_id, source_name, id, cosine) of each query with each chunk.
+
+    The stated queries are broadcast if they are few, and else dealt in blocks.
+    """
+    pairs = corpus.select("source_name", "id", "vector").join(_hinted(queries.select("query_id", "query_vector"), is_small(queries)))
     return pairs.select("query_id", "source_name", "id", vx.cosine(F.col("vector"), F.col("query_vector")).alias("cosine"))
 
 
@@ -83,7 +95,8 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("query_text")))).alias("term"))
     chunks = corpus.select("source_name", "id", tx.tokens(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
-    wanted = F.broadcast(terms.select("term").distinct())
+    small = is_small(queries)
+    wanted = _hinted(terms.select("term").distinct(), small)
     found = chunks.select("source_name", "id", "dl", F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
     tf = found.groupBy("source_name", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("source_name", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -91,7 +104,7 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
     scored = tf.join(df, ["source_name", "term"]).join(stats, "source_name").withColumn("part", idf * weight)
-    return scored.join(F.broadcast(terms), "term").groupBy("query_id", "source_name", "id").agg(F.sum("part").alias("bm25"))
+    return scored.join(_hinted(terms, small), "term").groupBy("query_id", "source_name", "id").agg(F.sum("part").alias("bm25"))
 
 
 def lexical_candidates(corpus: DataFrame, queries: DataFrame, cut: int) -> DataFrame:

@@ -322,10 +322,11 @@ def stale_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that occur in documents expect those files; the others are negative.
 
-    The passages are fixed in number and broadcast; each document is searched once.
+    Passages are broadcast if they are few; each document is searched once.
     """
     items = table(spark, sf_dir, "benchmark")
-    found = files(spark, sf_dir).join(F.broadcast(items.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage"))
+    passages = items.select("item_id", F.col("text").alias("passage"))
+    found = files(spark, sf_dir).join(F.broadcast(passages) if ranking.is_small(items) else passages, F.contains("text", "passage"))
     paths = found.groupBy("item_id").agg(F.array_sort(F.collect_list("source_path")).alias("expected_paths"))
     joined = items.join(paths, "item_id", "left")
     return joined.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "expected_paths", F.when(F.col("expected_paths").isNull(), F.lit(0.5)).alias("expect_max_cosine"))

@@ -126,7 +126,7 @@ def test_freshness(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("globs", "path", "hit"), [
-    ([".obsidian/**"], ".obsidian/config.json", True), ([".obsidian/**"], ".obsidian/deep/more.json", True), (["*.tmp"], "a/b/c.tmp", True), (["/a"], "b/a", False),
+    ([".editor/**"], ".editor/config.json", True), ([".editor/**"], ".editor/deep/more.json", True), (["*.tmp"], "a/b/c.tmp", True), (["/a"], "b/a", False),
     (["a/"], "x/a/y", True), (["a/"], "a", False), (["a"], "x/a/y", True), (["a/**/b"], "a/b", True), (["a/**/b"], "a/x/y/b", True), (["**/b"], "x/b", True), (["?.md"], "ab.md", False),
     (["[ab].md"], "b.md", True), (["[!ab].md"], "b.md", False), (["*.md", "!keep.md"], "keep.md", False), (["!keep.md", "*.md"], "keep.md", True), (["# no", ""], "# no", False), (["\\#x"], "#x", True),
     (["a*"], "ab/c", True), (["a/*"], "a/b/c", True), (["*/c"], "a/b/c", False),
@@ -231,17 +231,17 @@ def test_config_defaults(tmp_path, monkeypatch):
 
 def test_command_line(spark, tmp_path, capsys):
     file = str(_toml(tmp_path))
-    (tmp_path / "tree" / "a.md").write_text("---\nstatus: done\n---\n# Zebra\nzebra herd\n")
+    (tmp_path / "tree" / "a.md").write_text("---\nstatus: done\n---\n# Otter\notter raft\n")
     run = lambda *args: cli.main(["--config", file, *args], spark)
     assert run("eval", "--golden", file) == 2
     assert run("index") == 0 and "1 embedded" in capsys.readouterr().out
     assert run("index", "nope") == 2 and run("search", "x", "--sources", "nope") == 2 and run("bogus") == 2
     assert run("list") == 0 and capsys.readouterr().out == "notes\t1\n"
-    assert run("search", "zebra") == 0
+    assert run("search", "otter") == 0
     out = capsys.readouterr().out
-    assert "heading_path: /Zebra" in out and "status: done" in out and "bm25=0." in out
+    assert "heading_path: /Otter" in out and "status: done" in out and "bm25=0." in out
     golden = tmp_path / "g.toml"
-    golden.write_text('[[queries]]\nquery="zebra"\nexpected_paths=["a.md"]\n')
+    golden.write_text('[[queries]]\nquery="otter"\nexpected_paths=["a.md"]\n')
     assert run("eval", "--golden", str(golden)) == 0 and "recall@5 1.000" in capsys.readouterr().out
     assert run("status") == 0 and json.loads(capsys.readouterr().out)["total_chunks"] == 1
     assert cli.main(["--config", str(tmp_path / "absent"), "list"], spark) == 2

@@ -35,34 +35,34 @@ def test_nearest_over_sources(spark):
 
 
 def test_both_rankers_find(spark):
-    hits = _hybrid(spark, "tantivy bm25 retrieval", 10, ("s", "both", "tantivy bm25", E1), ("s", "lex", "retrieval only", FAR), ("s", "sem", "other topic", [0.9, 0.1, 0, 0]))
+    hits = _hybrid(spark, "copper kettle steam", 10, ("s", "both", "copper kettle", E1), ("s", "lex", "steam only", FAR), ("s", "sem", "other topic", [0.9, 0.1, 0, 0]))
     assert hits[0]["id"] == "both::0" and {h["id"] for h in hits} == {"both::0", "lex::0", "sem::0"}
     assert {h["id"]: h["bm25"] is not None for h in hits} == {"both::0": True, "lex::0": True, "sem::0": False}
 
 
 def test_weak_keyword_match_stays_below(spark):
-    hits = _hybrid(spark, "tantivy engine", 2, ("s", "sem", "nothing shared", E1), ("s", "key", "tantivy engine", [0.3, 0.95, 0, 0]), *_fillers())
+    hits = _hybrid(spark, "copper kettle", 2, ("s", "sem", "nothing shared", E1), ("s", "key", "copper kettle", [0.3, 0.95, 0, 0]), *_fillers())
     assert [h["id"] for h in hits] == ["sem::0", "key::0"] and hits[1]["bm25"] > 0
 
 
 def test_keyword_match_wins_near_ties(spark):
-    hits = _hybrid(spark, "tantivy engine", 3, ("s", "near", "unrelated words", [1, 0.05, 0, 0]), ("s", "exact", "the tantivy engine builds the index", [1, 0.25, 0, 0]), *_fillers())
+    hits = _hybrid(spark, "copper kettle", 3, ("s", "near", "unrelated words", [1, 0.05, 0, 0]), ("s", "exact", "the copper kettle sings on the stove", [1, 0.25, 0, 0]), *_fillers())
     assert hits[0]["id"] == "exact::0"
-    tie = _hybrid(spark, "tantivy engine", 4, *_fillers(3, E1), ("s", "match", "tantivy engine", E1))
+    tie = _hybrid(spark, "copper kettle", 4, *_fillers(3, E1), ("s", "match", "copper kettle", E1))
     assert tie[0]["id"] == "match::0"
 
 
 def test_boost_is_bounded(spark):
-    hits = {h["id"]: h for h in _hybrid(spark, "tantivy engine", 4, ("s", "lex", "the tantivy engine", E1), ("s", "sem", "words", [0.9, 0.1, 0, 0]), *_fillers(2))}
+    hits = {h["id"]: h for h in _hybrid(spark, "copper kettle", 4, ("s", "lex", "the copper kettle", E1), ("s", "sem", "words", [0.9, 0.1, 0, 0]), *_fillers(2))}
     assert hits["lex::0"]["cosine"] < hits["lex::0"]["score"] < hits["lex::0"]["cosine"] + 0.2
     assert hits["sem::0"]["score"] == hits["sem::0"]["cosine"]
 
 
 def test_best_lexical_match_beyond_the_pool(spark):
-    rows = [("s", f"f{i:02}", "zebra and more filler words", [1, 0.001 * i, 0, 0]) for i in range(59)]
-    hits = _hybrid(spark, "zebra", 60, *rows, ("s", "herd", "zebra zebra zebra zebra herd", [0.9, 0.4, 0, 0]))
+    rows = [("s", f"f{i:02}", "otter and more filler words", [1, 0.001 * i, 0, 0]) for i in range(59)]
+    hits = _hybrid(spark, "otter", 60, *rows, ("s", "raft", "otter otter otter otter raft", [0.9, 0.4, 0, 0]))
     found = {h["id"]: h["bm25"] for h in hits if h["bm25"] is not None}
-    assert max(found, key=found.get) == "herd::0"
+    assert max(found, key=found.get) == "raft::0"
 
 
 def test_guards(spark):

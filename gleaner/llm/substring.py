@@ -81,7 +81,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text + words.rows.start]), pa.array(at.astype(np.int32))], names=["h", "tid", "at"])
 
     found = texts.select("tid", "text").mapInArrow(anchors, "h long, tid long, at int")
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h"))
+    # Tables of their own, so that both sides of each join are plain shuffles: a hot
+    # key's rows can then be split, and the counts' shuffle is gone before the join's.
+    repeated = scratch.write(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h")))
     hits = found.join(repeated, F.col("h") == F.col("_h"), "left_semi").select("tid", "at")
     hits = scratch.write(hits.groupBy("tid").agg(F.collect_list("at").alias("hits")))
 
@@ -103,10 +105,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
 
     near = texts.select("tid", "text").join(hits, "tid").mapInArrow(windows, "w1 long, w2 long, tid long, at int")
     near = scratch.write(near)
-    twice = near.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("w1").alias("_1"), F.col("w2").alias("_2"))
+    twice = scratch.write(near.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("w1").alias("_1"), F.col("w2").alias("_2")))
     double = near.join(twice, (F.col("w1") == F.col("_1")) & (F.col("w2") == F.col("_2")), "left_semi")
     double = scratch.write(double.groupBy("tid").agg(F.collect_list("at").alias("windows")))
-    scratch.drop(hits, near)
+    scratch.drop(hits, near, repeated, twice)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -114,9 +114,9 @@ def lexical_candidates(corpus: DataFrame, queries: DataFrame, cut: int) -> DataF
 
 
 def fuse(vector: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Both rankings side by side with their reciprocal rank fusion."""
+    """Both rankings side by side with their reciprocal rank fusion; what one lacks is null."""
     keys = ["query_id", "source_name", "id"]
-    both = vector.select(*keys, "vector_rank").join(lexical.select(*keys, "lexical_rank", "bm25"), keys, "full_outer")
+    both = vector.select(*keys, "vector_rank", "cosine").join(lexical.select(*keys, "lexical_rank", "bm25"), keys, "full_outer")
     part = lambda c: F.coalesce(1 / (RRF_OFFSET + F.col(c)), F.lit(0.0))
     return both.withColumn("rrf", part("vector_rank") + part("lexical_rank"))
 
@@ -128,14 +128,12 @@ def search_hybrid(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     exact cosine, so a keyword match that is far away stays below near vectors.
     """
     cut = pool_size(_checked(k))
-    scores = vector_scores(corpus, queries)
-    rank, _ = _rank(["query_id", "source_name"], "cosine", cut)
-    near = scores.withColumn("vector_rank", rank).where(F.col("vector_rank") <= cut)
-    pool = fuse(near, lexical_candidates(corpus, queries, cut))
-    keys = ["query_id", "source_name", "id"]
-    exact = near.select(*keys, "cosine").unionByName(
-        pool.where(F.col("vector_rank").isNull()).select(*keys).join(scores, keys).select(*keys, "cosine"))
-    scored = pool.join(exact, keys).withColumn("score", F.col("cosine") + vx.lexical_boost(F.col("bm25")))
+    pool = fuse(vector_candidates(corpus, queries, cut), lexical_candidates(corpus, queries, cut))
+    # Vectors join the pool alone, so that keyword matches get their cosine without another pass over all pairs.
+    asked = _hinted(queries.select("query_id", "query_vector"), is_small(queries))
+    wide = pool.join(corpus.select("source_name", "id", "vector"), ["source_name", "id"]).join(asked, "query_id")
+    scored = wide.withColumn("cosine", F.coalesce(F.col("cosine"), vx.cosine(F.col("vector"), F.col("query_vector")))).drop("vector", "query_vector")
+    scored = scored.withColumn("score", F.col("cosine") + vx.lexical_boost(F.col("bm25")))
     order = [F.round("score", PLACES).desc(), F.round("rrf", PLACES).desc(), F.col("source_name"), F.col("vector_rank").asc_nulls_last(), F.col("lexical_rank"), F.col("id")]
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     top = scored.withColumn("rank", place).where(F.col("rank") <= k)

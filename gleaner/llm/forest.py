@@ -114,7 +114,8 @@ def search_forest(
     The score is the Euclidean distance in double precision, ties go to the
     smaller vec_id. Null, empty, zero or non-finite vectors, null ids and vectors
     of another than the most frequent length take no part. Equal vectors are
-    searched once, however many there are. An empty table gives no rows.
+    searched once, however many there are, and a row that repeats an id and its
+    vector counts once. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship_code(spark)

@@ -58,8 +58,8 @@ def search_pivots(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: i
     ``vectors`` and ``queries`` are (vec_id, v) with integers held as doubles; a
     query is never its own answer and ties go to the smaller vec_id. Null, empty
     or non-finite vectors, null ids and vectors of another than the most frequent
-    length take no part; zero vectors do. Equal vectors are searched once. An
-    empty table gives no rows.
+    length take no part; zero vectors do. Equal vectors are searched once, and a row
+    that repeats an id and its vector counts once. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship_code(spark)

@@ -1,10 +1,14 @@
 """Near-duplicate detection: one-permutation MinHash, banded buckets, star edges.
 
 Every document's set of word shingles gives one signature by one-permutation
-hashing with optimal densification. Bands of it name buckets. In a bucket a few
-centres are paired with the other members, as stars, and pairs are confirmed on
-the full sets; buckets whose members are not yet in one component take further
-centres, until every pair of different components in a bucket has been tested.
+hashing with optimal densification. Bands of it name buckets. In a bucket one
+centre is paired with the other members, as a star, and pairs are confirmed on the
+full sets. Members of a large star that are not in one component by then can only
+be linked through shingles that are rare in it, or if what is common in it covers
+most of both; they fall into groups by a prefix of the former and by the latter.
+Such a group takes more centres until every pair of different components in it
+has been tested. So a text or passage that thousands of texts share costs a star
+and not all their pairs, and no link between members of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table, wrapped
+from gleaner.llm.common import broadcast_if, table, wrapped
 from gleaner.llm.words import Words, mix, slices, window_hashes
 from gleaner.runtime import Scratch, ship_code
 
@@ -24,8 +28,14 @@ SHINGLE = 5
 #: With 40 bands of 4 rows a pair of similarity 0.75 is missed about once in a million times.
 BANDS, ROWS = 40, 4
 SIMILARITY = 75  # per cent
-#: Centres per bucket in the first round and the factor from one round to the next.
+#: Centres per group in the first round after the stars, and the factor from one to the next.
 FIRST_CENTRES, MORE_CENTRES = 2, 8
+#: Members up to which a star is one group; members of a larger one that tell what
+#: is common in it; ratio of sizes in one size class. None changes a result.
+SMALL_STAR, SAMPLED_MEMBERS, SIZE_STEP = 16, 64, 1.05
+#: Ids up to which the texts that need full sets are picked by a broadcast (about
+#: 10 MB); beyond it the texts are shuffled.
+BROADCAST_IDS = 500_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -160,6 +170,61 @@ def linked(pairs: DataFrame, sets: DataFrame, per_cent: int = SIMILARITY) -> Dat
     return both.where(100 * F.col("_i") >= per_cent * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _open_groups(scratch: Scratch, stars: DataFrame, sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
+    """(bucket, node, n, comp, side) of groups that hold all links left between members of a star.
+
+    Only stars with several components are looked at; small ones are one group.
+    For a large one let U be a set of shingles. Linked x and y share ``need`` or
+    more shingles, which their sizes tell. If U holds fewer than that of one of
+    them, they share some of what is left of them, and the first of that in hash
+    order is among the first n - ceil(per_cent n) + 1 of what is left of either.
+    If U holds as many of both, they meet in the group of covered texts of their
+    two size classes, where ``side`` keeps texts of one class from being paired
+    unless both classes are the same; elsewhere it is null. Any U gives right groups; shingles that an eighth of the
+    star's members have give small ones. It is taken from some of the members.
+    """
+    comps = labels.withColumnRenamed("node", "_n")
+    named = stars.join(comps, F.col("node") == F.col("_n"), "left").select("c", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    several = named.groupBy("c").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"))
+    several = several.where("x < y").select(F.col("c").alias("_c"), "m")
+    named = scratch.write(named.join(several, F.col("c") == F.col("_c")).drop("_c"))
+    small = named.where(F.col("m") <= SMALL_STAR).select(F.xxhash64("c").alias("bucket"), "node", "n", "comp", F.lit(None).cast("int").alias("side"))
+
+    large = named.where(F.col("m") > SMALL_STAR)
+    some = large.withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("node"), "node"))).where(F.col("_r") <= SAMPLED_MEMBERS)
+    held = some.join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("c", "m", F.explode("shingles").alias("s"))
+    often = held.groupBy("c", "s").agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m")).where(8 * F.col("k") >= F.least("m", F.lit(SAMPLED_MEMBERS)))
+    common = often.groupBy(F.col("c").alias("_u")).agg(F.collect_list("s").alias("_common"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+    sizes = large.groupBy(F.col("c").alias("_z"), size_class.alias("k")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = sizes.groupBy("_z").agg(F.collect_list(F.struct("k", "low", "high")).alias("_sizes"))
+    known = sizes.join(common, F.col("_z") == F.col("_u"), "left").select("_z", "_sizes", F.coalesce("_common", F.array().cast("array<long>")).alias("_common"))
+    both = large.join(known, F.col("c") == F.col("_z")).join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
+    both = both.withColumn("_rest", F.array_except("shingles", "_common")).withColumn("_own", size_class)
+    both = both.select("c", "node", "n", "comp", "_own", "_sizes", "_rest", (F.size("shingles") - F.size("_rest")).alias("_in"))
+    least = F.ceil(F.col("n") * per_cent / 100)
+    first = F.slice("_rest", 1, (F.col("n") - least + 1).cast("int"))
+
+    def meets(z: F.Column) -> F.Column:
+        """Whether a text of this class can be linked and U holds all that the two must share."""
+        need = F.greatest(least, F.ceil((F.col("n") + z["low"]) * F.lit(per_cent / (100.0 + per_cent)) - F.lit(1e-9)))
+        return (100 * z["high"] >= per_cent * F.col("n")) & (100 * F.col("n") >= per_cent * z["low"]) & (F.col("_in") >= need)
+
+    covered = F.transform(F.filter("_sizes", meets), lambda z: F.struct(
+        F.xxhash64(F.lit("covered"), F.least(z["k"], F.col("_own")), F.greatest(z["k"], F.col("_own"))).alias("k"),
+        F.when(z["k"] != F.col("_own"), F.col("_own")).alias("side")))
+    shared = F.transform(first, lambda s: F.struct(F.xxhash64(F.lit("shingle"), s).alias("k"), F.lit(None).cast("int").alias("side")))
+    rows = both.select("c", "node", "n", "comp", F.explode(F.concat(shared, covered)).alias("_k"))
+    grouped = small.unionByName(rows.select(F.xxhash64("c", "_k.k").alias("bucket"), "node", "n", "comp", "_k.side"))
+    grouped = scratch.write(grouped)
+    # Overlapping shingles make many groups of the same members: one of each is enough.
+    who = F.xxhash64("node", F.coalesce("side", F.lit(-1)))
+    apart = grouped.groupBy("bucket").agg(
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"), F.bit_xor(who).alias("s1"), F.bit_xor(F.xxhash64(who, F.lit(7))).alias("s2"))
+    apart = apart.where("x < y").groupBy("m", "s1", "s2").agg(F.min("bucket").alias("_b")).select("_b")
+    return grouped.join(apart, F.col("bucket") == F.col("_b"), "left_semi")
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, per_cent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of (doc_id, text).
 
@@ -178,10 +243,14 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, per_c
     nodes = scratch.write(nodes)
 
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.col("n").cast("int").alias("n"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select(F.col("bucket").alias("_b"))
-    active = buckets.join(shared, F.col("bucket") == F.col("_b"), "left_semi")
-    active = scratch.write(active.select("bucket", "node", "n", F.col("node").alias("comp")))
-    wanted = active.select(F.col("node").alias("_n")).distinct()
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    shared = scratch.write(shared.select(F.col("bucket").alias("_b"), F.col("a").alias("c")))
+    stars = buckets.join(shared, F.col("bucket") == F.col("_b")).where("node <> c")
+    stars = scratch.write(stars.select("c", "node", "n").distinct())
+    scratch.drop(shared)
+    wanted = stars.select(F.col("node").alias("_n")).unionByName(stars.select(F.col("c").alias("_n"))).distinct()
+    wanted = scratch.write(wanted)
+    wanted = broadcast_if(wanted, wanted.count(), BROADCAST_IDS)
     sets = scratch.write(full_sets(docs.join(wanted, F.col("doc_id") == F.col("_n"), "left_semi")))
 
     # Rows of one doc_id with different sets are linked from the start.
@@ -189,38 +258,38 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, per_c
     of_row = scratch.write(same.select("doc_id", "node").distinct())
     links = [scratch.write(of_row.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).join(
         nodes.select(F.col("node").alias("u")).distinct(), "u", "left_semi"))]
-    tested: DataFrame | None = None
-    labels: DataFrame | None = None
+    tested = stars.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"))
+    links.append(scratch.write(linked(tested, sets, per_cent)))
+    labels = components(scratch, links[0].unionByName(links[1]))
+    active = scratch.write(_open_groups(scratch, stars, sets, labels, per_cent))
     centres_each = FIRST_CENTRES
     while not active.isEmpty():
         sizes = active.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
         order = Window.partitionBy("bucket").orderBy("comp_size", "node")
         ranked = active.join(sizes, "comp").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= centres_each)
-        centres = scratch.write(ranked.select(F.col("bucket").alias("_b"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc")))
-        fits = (F.col("comp") != F.col("cc")) & (100 * F.least("n", "cn") >= per_cent * F.greatest("n", "cn"))
-        pairs = active.join(centres, (F.col("bucket") == F.col("_b")) & fits)
+        centres = scratch.write(ranked.select(F.col("bucket").alias("_b"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"), F.col("side").alias("cs")))
+        across = F.col("side").isNull() | (F.col("side") != F.col("cs"))
+        fits = across & (F.col("comp") != F.col("cc")) & (100 * F.least("n", "cn") >= per_cent * F.greatest("n", "cn"))
+        own = centres.select(F.col("_b").alias("_cb"), F.col("c").alias("_cn"), F.lit(True).alias("_is"))
+        marked = active.join(own, (F.col("bucket") == F.col("_cb")) & (F.col("node") == F.col("_cn")), "left").drop("_cb", "_cn")
+        once = F.col("_is").isNull() | (F.col("c") < F.col("node"))  # two centres meet once
+        pairs = marked.join(centres, (F.col("bucket") == F.col("_b")) & fits & once)
         pairs = pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs)
+        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"))
         links.append(scratch.write(linked(pairs, sets, per_cent)))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested = tested.unionByName(pairs)
         edges = links[0]
         for more in links[1:]:
             edges = edges.unionByName(more)
-        if labels is not None:
-            scratch.drop(labels)
+        scratch.drop(labels)
         labels = components(scratch, edges)
-        left = active.join(centres.select(F.col("_b").alias("_cb"), "c"), (F.col("bucket") == F.col("_cb")) & (F.col("node") == F.col("c")), "left_anti")
-        left = left.drop("comp").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-        left = left.select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        left = marked.where(F.col("_is").isNull()).drop("comp", "_is").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+        left = left.select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"), "side")
         open_ = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(F.col("bucket").alias("_b"))
         again = scratch.write(left.join(open_, F.col("bucket") == F.col("_b"), "left_semi"))
         scratch.drop(active, centres)
         active = again
         centres_each *= MORE_CENTRES
-    if labels is None:
-        labels = components(scratch, links[0])
     scratch.drop(active, sets)
 
     named = nodes.select("k1", "k2", "node").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")

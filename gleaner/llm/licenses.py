@@ -139,9 +139,10 @@ def _matches(words: Words, index: Index, band: int, least: float) -> Iterator[tu
         known = words.hashes[low:high].tolist()
         for t, at in starts.items():
             template, got = index.words[t].tolist(), []
-            for begin, end in _clusters(sorted(at), band):
-                a = max(0, begin - band)
-                n, first, last = align(template, known[a : end + len(template) + band], end + 2 * band - a)
+            near = min(band, max(1, len(template) // 2))  # else two short notices in a row would be one
+            for begin, end in _clusters(sorted(at), near):
+                a = max(0, begin - near)
+                n, first, last = align(template, known[a : max(0, end + len(template) + near)], end + 2 * near - a)
                 if n >= least * len(template):
                     got.append((n, a + first, a + last))
             for n, first, last in _without_overlap(got):
@@ -152,7 +153,7 @@ def _clusters(starts: list[int], band: int) -> Iterator[tuple[int, int]]:
     """Runs of supposed first words with steps of at most ``band`` and a bounded length."""
     begin = last = starts[0]
     for s in starts[1:]:
-        if s - last > band or s - begin > 4 * band:
+        if s - last >= band or s - begin > 2 * band:
             yield begin, last
             begin = s
         last = s

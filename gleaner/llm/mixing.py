@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import broadcast_if, table, word_count, wrapped
-from gleaner.runtime import Scratch
+from gleaner.runtime import Scratch, with_rank
 
 #: Sources up to which the per-source table is broadcast (about 200 bytes each).
 BROADCAST_SOURCES = 20_000
-#: Largest documents that still fit, added one a round to each source at the end.
+#: Picks up to which their table is broadcast (about 100 bytes each).
+BROADCAST_PICKS = 100_000
+#: Picks a source that the SQL unrolls; the operator itself goes on until none fits.
 FILL_ROUNDS = 6
 _BUCKET_DIGITS = 3  # 16**3 buckets of the seeded order per source
 
@@ -62,23 +64,28 @@ def fill_targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
 
 @dataclass
 class Mix:
-    """Decisions: one row per source, and how a document reads them."""
+    """Decisions: one row per source, the documents that fill its gap, and how a document reads them."""
 
     sources: DataFrame
+    picks: DataFrame
     base: DataFrame
     n_sources: int
+    n_picks: int
     seed: int
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """Add size, source_size, target, copies and taken to rows of (u, h, source_key, size)."""
         right = broadcast_if(self.sources.withColumnRenamed("source_key", "_sk"), self.n_sources, BROADCAST_SOURCES)
         joined = docs.join(right, F.col("source_key") == F.col("_sk"), "inner")
+        picks = self.picks.select(F.col("source_key").alias("_ps"), F.col("u").alias("_pu"), F.col("h").alias("_ph"))
+        same = (F.col("source_key") == F.col("_ps")) & (F.col("u") == F.col("_pu")) & (F.col("h") == F.col("_ph"))
+        joined = joined.join(broadcast_if(picks, self.n_picks, BROADCAST_PICKS), same, "left")
         mine = F.struct("u", "h")
         below = F.substring("u", 1, _BUCKET_DIGITS) < F.col("cross_bucket")
-        extra = F.coalesce(below, F.lit(True)) | F.coalesce(mine <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("picks", mine), F.lit(False))
+        extra = F.coalesce(below, F.lit(True)) | F.coalesce(mine <= F.col("cut"), F.lit(False)) | F.col("_ps").isNotNull()
         copies = F.col("whole") + F.when(extra & (F.col("goal") > 0), 1).otherwise(0)
         out = joined.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("long"))
-        return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_sk", "weight", "whole", "goal", "cross_bucket", "cut", "picks")
+        return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_sk", "weight", "whole", "goal", "cross_bucket", "cut", "_ps", "_pu", "_ph")
 
 
 def _narrow_columns(seed: int) -> list[Column]:
@@ -89,13 +96,34 @@ def _narrow_columns(seed: int) -> list[Column]:
     ]
 
 
+#: Largest sizes first, as many documents of each as the gap still holds.
+_TAKES = """aggregate(sizes, named_struct('gap', gap, 'takes', cast(array() as array<struct<w:bigint,k:bigint,n:bigint>>)),
+  (a, s) -> if(s.w > a.gap, a, named_struct('gap', a.gap - s.w * least(s.n, a.gap div s.w), 'takes', concat(a.takes, array(named_struct('w', s.w, 'k', least(s.n, a.gap div s.w), 'n', s.n))))),
+  a -> a.takes)"""
+
+
+def fill_gaps(scratch: Scratch, left: DataFrame) -> DataFrame:
+    """(source_key, u, h) of the largest documents that still fit, one after another until none does.
+
+    ``left`` has (source_key, u, h, w, missing), with w above 0. Documents of a size are alike
+    but for their order (u, h), so the choice runs over one row per source and size:
+    the sizes of a source add up to its words at most, so they are few.
+    """
+    sizes = left.groupBy("source_key", "w").agg(F.count(F.lit(1)).alias("n"), F.first("missing").alias("missing"))
+    by_source = sizes.groupBy("source_key").agg(F.floor(F.first("missing")).alias("gap"), F.sort_array(F.collect_list(F.struct("w", "n")), asc=False).alias("sizes"))
+    takes = scratch.write(by_source.select("source_key", F.explode(F.expr(_TAKES)).alias("t")).select("source_key", "t.*"))
+    chosen = left.drop("missing").join(broadcast_if(takes, takes.count(), BROADCAST_PICKS), ["source_key", "w"])
+    some = with_rank(scratch, chosen.where("k < n"), ["source_key", "w"], ["u", "h"], "place").where("place < k")
+    return chosen.where("k = n").select("source_key", "u", "h").unionByName(some.select("source_key", "u", "h"))
+
+
 def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, cycle: tuple[int, ...] = (5, 2, 1)) -> Mix:
     """Decide how often each document of (doc_id, text, source) is taken.
 
     A source's target over its size gives whole repetitions of all its documents;
     the rest is a seeded sample: documents in the order of md5(seed, doc_id), as
-    many as come before the missing words are exceeded, then FILL_ROUNDS times the
-    largest untaken document that still fits.
+    many as come before the missing words are exceeded, then the largest untaken
+    document that still fits, again and again until none does.
 
     Null or empty texts have size 0, take nothing and stay once. Null sources are
     one source, last in order. Null doc_ids are ordered as the word null. Rows
@@ -132,18 +160,10 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, cycle: tuple[int, .
     gaps = plan.select("source_key", "cross_bucket", "cut", "missing")
     left = units.join(small(gaps.where(F.col("missing") > 0)), "source_key")
     left = left.where((F.col("bucket") >= F.col("cross_bucket")) & ~F.coalesce(F.struct("u", "h") <= F.col("cut"), F.lit(False)))
-    left = scratch.write(left.where((F.col("w") > 0) & (F.col("w") <= F.col("missing"))).select("source_key", "u", "h", "w"))
-    pair = "array<struct<u:string,h:string>>"
-    picks = scratch.write(gaps.select("source_key", "missing", F.expr(f"cast(array() as {pair})").alias("picks")))
-    for _ in range(FILL_ROUNDS):
-        fits = left.join(small(picks), "source_key").where((F.col("w") <= F.col("missing")) & ~F.array_contains("picks", F.struct("u", "h")))
-        best = fits.groupBy("source_key").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("u"), F.col("h"))).alias("best"))
-        more = F.when(F.col("best").isNotNull(), F.array(F.struct(F.col("best.u").alias("u"), F.col("best.h").alias("h")))).otherwise(F.expr(f"cast(array() as {pair})"))
-        picks = scratch.write(picks.join(best, "source_key", "left").select(
-            "source_key", (F.col("missing") + F.coalesce("best.w", F.lit(0))).alias("missing"), F.concat("picks", more).alias("picks")))
-    decided = plan.join(picks.drop("missing"), "source_key", "left")
-    decided = scratch.write(decided.select("source_key", "source_size", "weight", "target", "whole", "goal", "cross_bucket", "cut", "picks"))
-    return Mix(decided, base, n_sources, seed)
+    left = scratch.write(left.where((F.col("w") > 0) & (F.col("w") <= F.col("missing"))).select("source_key", "u", "h", "w", "missing"))
+    picks = scratch.write(fill_gaps(scratch, left))
+    decided = plan.select("source_key", "source_size", "weight", "target", "whole", "goal", "cross_bucket", "cut")
+    return Mix(decided, picks, base, n_sources, picks.count(), seed)
 
 
 def mix_documents(docs: DataFrame, **settings: object) -> DataFrame:

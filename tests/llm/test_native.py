@@ -1,6 +1,7 @@
 """Mixing, chat formatting and sharding."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -46,6 +47,32 @@ def test_mixed_documents_are_taken_as_decided(spark):
     assert got == taken
 
 
+def test_mixing_goes_on_after_a_very_long_document(spark):
+    """The document that crosses the goal is half of its source, so hundreds of others have to fill the gap."""
+    order = sorted(range(1_000), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randrange(5, 16)), "a") for i in order[1:300]] + [(order[0], "w " * 3_000, "a")]
+    rows += [(i, " ".join(["w"] * rng.randrange(1, 40)), "b") for i in order[300:600]] + rows[:3]
+    decided = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {(r["source"], r["doc_id"]): r for r in decided.apply(decided.base).collect()}
+    for source in "ab":
+        units = Counter()
+        for i, text, s in rows:
+            units[i] += len(text.split()) if s == source else 0
+        size, target = sum(units.values()), next(r["target"] for k, r in got.items() if k[0] == source)
+        whole, gap, extra, at = int(target // size), target % size, set(), [i for i in order if units[i]]
+        while at and units[at[0]] <= gap:
+            gap -= units[at[0]]
+            extra.add(at.pop(0))
+        before = len(extra)
+        for i in sorted(at, key=lambda i: (-units[i], order.index(i))):
+            if units[i] <= gap:
+                gap -= units[i]
+                extra.add(i)
+        assert {i: r["copies"] for (s, i), r in got.items() if s == source} == {i: whole + (i in extra) for i in units if units[i]}
+        assert gap < 5 and (source == "b" or len(extra) - before > 100)
+
+
 @pytest.mark.parametrize(("sizes", "targets"), [
     ([100, 100, 100], [187.5, 75.0, 37.5]), ([10, 100, 100], [30, 120, 60]), ([1, 1, 1000], [3, 3, 996]), ([0, 10], [0, 10]), ([5], [5]), ([0], [0]), ([1, 2, 1000, 1], [3, 6, 992, 3]),
 ])

@@ -1,11 +1,15 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment confirms.
+"""License scans: fingerprints and counts of words pick candidates, banded alignment confirms.
 
-Templates are few and fixed, so their fingerprints travel to every task as an
-inverted index; documents are read once and nothing is shuffled.
+Templates are few and fixed, so their fingerprints and words travel to every task
+as an inverted index; documents are read once and nothing is shuffled. Winnowed
+fingerprints find what keeps a run of words, however far the rest has moved.
+Counts of a template's words find the rest: no place that holds enough of them,
+in order and moved by no more than ``reach``, is missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -79,6 +83,8 @@ class Index:
     prints: np.ndarray
     owners: np.ndarray
     places: np.ndarray
+    vocabulary: np.ndarray  # words of all templates, sorted
+    spots: list[dict[int, list[int]]]  # of each template the places of its words, by place in the vocabulary
 
     @classmethod
     def of(cls, templates: dict[str, str]) -> Index:
@@ -89,7 +95,12 @@ class Index:
             rows += [(int(grams[p]), t, int(p)) for p in winnow(grams)]
         rows.sort()
         prints, owners, places = zip(*rows, strict=True) if rows else ((), (), ())
-        return cls(list(templates), words, np.array(prints, np.uint64), np.array(owners, np.int64), np.array(places, np.int64))
+        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
+        spots: list[dict[int, list[int]]] = [defaultdict(list) for _ in words]
+        for t, w in enumerate(words):
+            for i, v in enumerate(np.searchsorted(vocabulary, w).tolist()):
+                spots[t][v].append(i)
+        return cls(list(templates), words, np.array(prints, np.uint64), np.array(owners, np.int64), np.array(places, np.int64), vocabulary, spots)
 
 
 def align(template: list[int], words: list[int], width: int) -> tuple[int, int, int]:
@@ -117,8 +128,115 @@ def align(template: list[int], words: list[int], width: int) -> tuple[int, int,
     return n, start, last + 1
 
 
+def _near(size: int, band: int) -> int:
+    """The band for a template of ``size`` words: else two short notices in a row would be one."""
+    return min(band, max(1, size // 2))
+
+
+def reach(size: int, band: int, need: int) -> int:
+    """Words by which parts of a place may have moved apart: all that may be missing, or twice the band."""
+    return min(size - 1, max(2 * _near(size, band), size - need))
+
+
 def _matches(words: Words, index: Index, band: int, least: float) -> Iterator[tuple[int, int, int, int, int, float]]:
     """(text, template, first word, end word, matched, coverage), words counted in the slice."""
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    for text, t, got in _by_prints(words, index, band, least):
+        found[text, t] += got
+    for text, t, got in _by_words(words, index, band, least, found):
+        found[text, t] += got
+    for text, t in sorted(found):
+        low = int(words.first[text])
+        for n, first, last in _without_overlap(found[text, t]):
+            yield text, t, low + first, low + last, n, n / len(index.words[t])
+
+
+def _by_words(
+    words: Words, index: Index, band: int, least: float, found: dict[tuple[int, int], list[tuple[int, int, int]]]
+) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(text, template, matches) wherever enough words of a template stand close together, in any order."""
+    if not len(index.vocabulary):
+        return
+    which = np.searchsorted(index.vocabulary, words.hashes)
+    hits = np.flatnonzero(index.vocabulary[np.minimum(which, len(index.vocabulary) - 1)] == words.hashes)
+    which, texts = which[hits], np.searchsorted(words.first, hits, side="right") - 1
+    for t, template in enumerate(index.words):
+        size = len(template)
+        need = max(1, math.ceil(least * size))
+        if not size or need > size:
+            continue
+        width = reach(size, band, need)
+        member = np.zeros(len(index.vocabulary), dtype=bool)
+        member[list(index.spots[t])] = True
+        mine = np.flatnonzero(member[which])
+        at, text = hits[mine], texts[mine]
+        m = len(at) - need + 1
+        if m <= 0:
+            continue
+        dense = np.flatnonzero((at[need - 1 :] - at[:m] < size + width) & (text[need - 1 :] == text[:m]))
+        if not len(dense):
+            continue
+        steps = np.zeros(len(at) + 1, dtype=np.int64)
+        np.add.at(steps, dense, 1)
+        np.add.at(steps, dense + need, -1)
+        kept = np.flatnonzero(np.cumsum(steps[:-1]))
+        at, text, word = at[kept], text[kept], which[mine[kept]]
+        for x in np.unique(text).tolist():
+            a, b = np.searchsorted(text, [x, x + 1])
+            low, high = int(words.first[x]), int(words.first[x + 1])
+            spots, where, what = index.spots[t], at[a:b] - low, word[a:b]
+            for n, first, last in found.get((x, t), ()):
+                if n == size:  # what overlaps a full match would be dropped
+                    rest = (where < first) | (where >= last)
+                    where, what = where[rest], what[rest]
+            close = _close(where.tolist(), what.tolist(), spots, need, size + width)
+            if close:
+                got = _by_diagonals(template.tolist(), spots, words.hashes[low:high], close, need, width)
+                if got:
+                    yield x, t, got
+
+
+def _close(at: list[int], word: list[int], spots: dict[int, list[int]], need: int, span: int) -> list[tuple[int, int]]:
+    """(place, word) in runs of ``span`` words with ``need`` of the template's, each word counted as often as the template has it."""
+    have: dict[int, int] = defaultdict(int)
+    count = first = upto = 0
+    out: list[tuple[int, int]] = []
+    for k, (p, w) in enumerate(zip(at, word, strict=True)):
+        have[w] += 1
+        count += have[w] <= len(spots[w])
+        while p - at[first] >= span:
+            have[word[first]] -= 1
+            count -= have[word[first]] < len(spots[word[first]])
+            first += 1
+        if count >= need:
+            begin = max(first, upto)
+            out += zip(at[begin : k + 1], word[begin : k + 1], strict=True)
+            upto = k + 1
+    return out
+
+
+def _by_diagonals(
+    template: list[int], spots: dict[int, list[int]], known: np.ndarray, hits: list[tuple[int, int]], need: int, width: int
+) -> list[tuple[int, int, int]]:
+    """Matches from each diagonal (place in the text less place in the template) with enough words within ``width``."""
+    diagonals, places = np.array(sorted((p - i, p) for p, w in hits for i in spots[w]), dtype=np.int64).T
+    free, got = np.ones(len(places), dtype=bool), []
+    for low in np.unique(diagonals).tolist():
+        a, b = np.searchsorted(diagonals, [low, low + width + 1])
+        if free[a:b].sum() < need:
+            continue
+        lead = max(0, -low)  # the text may begin inside the template
+        part = [-1] * lead + known[low + lead : max(0, low + len(template) + width)].tolist()
+        n, first, last = align(template, part, width)
+        if n >= need:
+            got.append((n, low + first, low + last))
+            if n == len(template):
+                free &= (places < low + first) | (places >= low + last)
+    return got
+
+
+def _by_prints(words: Words, index: Index, band: int, least: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(text, template, matches) around the winnowed fingerprints, words counted in the text."""
     grams = window_hashes(words.hashes, GRAM)
     if not len(grams) or not len(index.prints):
         return
@@ -139,14 +257,15 @@ def _matches(words: Words, index: Index, band: int, least: float) -> Iterator[tu
         known = words.hashes[low:high].tolist()
         for t, at in starts.items():
             template, got = index.words[t].tolist(), []
-            near = min(band, max(1, len(template) // 2))  # else two short notices in a row would be one
+            near = _near(len(template), band)
             for begin, end in _clusters(sorted(at), near):
-                a = max(0, begin - near)
-                n, first, last = align(template, known[a : max(0, end + len(template) + near)], end + 2 * near - a)
+                a = begin - near
+                lead = max(0, -a)  # the text may begin inside the template
+                n, first, last = align(template, [-1] * lead + known[a + lead : max(0, end + len(template) + near)], end + 2 * near - a)
                 if n >= least * len(template):
                     got.append((n, a + first, a + last))
-            for n, first, last in _without_overlap(got):
-                yield int(text), t, low + first, low + last, n, n / len(template)
+            if got:
+                yield int(text), t, got
 
 
 def _clusters(starts: list[int], band: int) -> Iterator[tuple[int, int]]:
@@ -161,9 +280,9 @@ def _clusters(starts: list[int], band: int) -> Iterator[tuple[int, int]]:
 
 
 def _without_overlap(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The longest matches first, each one only if no chosen one shares a word with it."""
+    """The longest matches first, of equally long ones the closest together, each one only if no chosen one shares a word with it."""
     chosen: list[tuple[int, int, int]] = []
-    for m in sorted(set(found), key=lambda m: (-m[0], m[1])):
+    for m in sorted(set(found), key=lambda m: (-m[0], m[2] - m[1], m[1])):
         near = [c for c in chosen if m[1] < c[2] and c[1] < m[2]]
         if not near:
             chosen.append(m)

@@ -201,6 +201,43 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(no_docs(spark)).collect() == []
 
 
+def _license_rows(texts, templates=None):
+    index = licenses.Index.of(templates or licenses.TEMPLATES)
+    rows = []
+    for words in wd.slices(pa.array(texts, pa.string()), lower=True, breaks=wd.PUNCTUATION):
+        for text, t, first, last, n, _ in licenses._matches(words, index, licenses.BAND, licenses.MIN_COVERAGE):
+            rows.append((words.rows.start + text, index.names[t], first - int(words.first[text]), last - int(words.first[text]), n))
+    return rows
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_edited_license_is_found(name):
+    """Each word misspelt, left out or preceded by another; as many misspelt as the threshold allows; at the start of a text and after words."""
+    words = "".join(c if c.isalnum() else " " for c in licenses.TEMPLATES[name]).split()
+    size, rng = len(words), random.Random(8)
+    most = max(e for e in range(size) if size - e >= licenses.MIN_COVERAGE * size)
+    edits = [(words[:i] + ["extra"] + words[i:], size) for i in range(size)]
+    if most:
+        edits += [(words[:i] + other + words[i + 1 :], size - 1) for i in range(size) for other in ([], ["misspelt"])]
+    for _ in range(40):
+        out = set(rng.sample(range(size), most))
+        edits.append((["misspelt" if i in out else w for i, w in enumerate(words)], size - most))
+        edits.append(([w for i, w in enumerate(words) if i not in out], size - most))
+    texts = [" ".join(before + edit) for edit, _ in edits for before in ([], ["some", "other", "words"])]
+    best = {}
+    for text, license, _, _, n in _license_rows(texts):
+        if license == name:
+            best[text] = max(best.get(text, 0), n)
+    assert [k for k in range(len(texts)) if best.get(k, 0) < edits[k // 2][1]] == []
+
+
+def test_few_words_over_and_over_are_no_license():
+    assert _license_rows(["the " * 400, "license " * 50 + "under the " * 50, "", "the license of a library, under the sun"]) == []
+    twice = "Released under MIT License. Released under the MIT Licence"
+    assert [r[1:] for r in _license_rows([twice])] == [("mit-notice", 0, 4, 4), ("mit-notice", 4, 8, 4)]
+    assert _license_rows(["x MIT y", "mit"], {"one": "MIT"}) == [(0, "one", 1, 2, 1), (1, "one", 0, 1, 1)]
+
+
 def _tokens(text):
     from tokenizers import Tokenizer
 

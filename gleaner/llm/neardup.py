@@ -5,9 +5,10 @@ hashing with optimal densification. Bands of it name buckets. In a bucket one
 centre is paired with the other members, as a star, and pairs are confirmed on the
 full sets. Members of a large star that are not in one component by then can only
 be linked through shingles that are rare in it, or if what is common in it covers
-most of both; they fall into groups by a prefix of the former and by the latter.
-Such a group takes more centres until every pair of different components in it
-has been tested. So a text or passage that thousands of texts share costs a star
+most of both. First the latter are paired with hubs, which hold the most of what is
+common; then they fall into groups by a prefix of the former and by sizes. Such a
+group takes more centres until every pair of different components in it that can
+be linked at all has been tested. So a text or passage that thousands of texts share costs a star
 and not all their pairs, and no link between members of a bucket is lost.
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import broadcast_if, table, wrapped
@@ -170,61 +171,106 @@ def linked(pairs: DataFrame, sets: DataFrame, per_cent: int = SIMILARITY) -> Dat
     return both.where(100 * F.col("_i") >= per_cent * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _open_groups(scratch: Scratch, stars: DataFrame, sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
-    """(bucket, node, n, comp, side) of groups that hold all links left between members of a star.
+def _enough(i: Column, n: Column, m: Column, per_cent: int) -> Column:
+    """Whether ``i`` shared shingles link texts of ``n`` and ``m`` shingles."""
+    return (100 + per_cent) * i >= per_cent * (n + m)
 
-    Only stars with several components are looked at; small ones are one group.
-    For a large one let U be a set of shingles. Linked x and y share ``need`` or
-    more shingles, which their sizes tell. If U holds fewer than that of one of
-    them, they share some of what is left of them, and the first of that in hash
-    order is among the first n - ceil(per_cent n) + 1 of what is left of either.
-    If U holds as many of both, they meet in the group of covered texts of their
-    two size classes, where ``side`` keeps texts of one class from being paired
-    unless both classes are the same; elsewhere it is null. Any U gives right groups; shingles that an eighth of the
-    star's members have give small ones. It is taken from some of the members.
-    """
+
+def _open_stars(scratch: Scratch, stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(c, node, n, comp, m) of the stars whose members are in several components; m counts members."""
     comps = labels.withColumnRenamed("node", "_n")
     named = stars.join(comps, F.col("node") == F.col("_n"), "left").select("c", "node", "n", F.coalesce("comp", "node").alias("comp"))
     several = named.groupBy("c").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"))
     several = several.where("x < y").select(F.col("c").alias("_c"), "m")
-    named = scratch.write(named.join(several, F.col("c") == F.col("_c")).drop("_c"))
-    small = named.where(F.col("m") <= SMALL_STAR).select(F.xxhash64("c").alias("bucket"), "node", "n", "comp", F.lit(None).cast("int").alias("side"))
+    return scratch.write(named.join(several, F.col("c") == F.col("_c")).drop("_c"))
+
+
+def _size_class() -> Column:
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
 
-    large = named.where(F.col("m") > SMALL_STAR)
+
+def _cored(scratch: Scratch, open_stars: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """(c, node, n, k, u, first) of the members of large open stars.
+
+    Let U be the shingles that an eighth of the star's members have, told from some
+    of them. ``u`` counts a member's shingles in U; ``first`` are the first of its
+    others, in hash order, of which linked texts share one if they share any; ``k``
+    is the size class.
+    """
+    large = open_stars.where(F.col("m") > SMALL_STAR)
     some = large.withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("node"), "node"))).where(F.col("_r") <= SAMPLED_MEMBERS)
     held = some.join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("c", "m", F.explode("shingles").alias("s"))
     often = held.groupBy("c", "s").agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m")).where(8 * F.col("k") >= F.least("m", F.lit(SAMPLED_MEMBERS)))
     common = often.groupBy(F.col("c").alias("_u")).agg(F.collect_list("s").alias("_common"))
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
-    sizes = large.groupBy(F.col("c").alias("_z"), size_class.alias("k")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    sizes = sizes.groupBy("_z").agg(F.collect_list(F.struct("k", "low", "high")).alias("_sizes"))
-    known = sizes.join(common, F.col("_z") == F.col("_u"), "left").select("_z", "_sizes", F.coalesce("_common", F.array().cast("array<long>")).alias("_common"))
-    both = large.join(known, F.col("c") == F.col("_z")).join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
-    both = both.withColumn("_rest", F.array_except("shingles", "_common")).withColumn("_own", size_class)
-    both = both.select("c", "node", "n", "comp", "_own", "_sizes", "_rest", (F.size("shingles") - F.size("_rest")).alias("_in"))
-    least = F.ceil(F.col("n") * per_cent / 100)
-    first = F.slice("_rest", 1, (F.col("n") - least + 1).cast("int"))
-
-    def meets(z: F.Column) -> F.Column:
-        """Whether a text of this class can be linked and U holds all that the two must share."""
-        need = F.greatest(least, F.ceil((F.col("n") + z["low"]) * F.lit(per_cent / (100.0 + per_cent)) - F.lit(1e-9)))
-        return (100 * z["high"] >= per_cent * F.col("n")) & (100 * F.col("n") >= per_cent * z["low"]) & (F.col("_in") >= need)
+    both = large.join(common, F.col("c") == F.col("_u"), "left").join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
+    both = both.withColumn("_rest", F.array_except("shingles", F.coalesce("_common", F.array().cast("array<long>"))))
+    first = F.slice("_rest", 1, (F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1).cast("int"))
+    return scratch.write(both.select("c", "node", "n", _size_class().alias("k"), (F.size("shingles") - F.size("_rest")).alias("u"), first.alias("first")))
+
+
+def _hub_pairs(open_stars: DataFrame, cored: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): members and the hub of each size class that they may be linked with through U alone.
+
+    The hub has the most of U for its size. Texts x and y share u(x) + u(y) - |U|
+    or more of U, so what is linked with anything by little but U is linked with a
+    hub or nearly so, and few pairs are left for the groups. There is a hub per
+    class and star, however many members.
+    """
+    share = per_cent / (100.0 + per_cent)
+    rows = cored.drop("first").join(open_stars.select(F.col("c").alias("_c"), F.col("node").alias("_n"), "comp"), (F.col("c") == F.col("_c")) & (F.col("node") == F.col("_n"))).drop("_c", "_n")
+    best = F.max_by(F.struct("node", "n", "u", "comp"), F.struct(F.col("u") - share * F.col("n"), -F.col("node")))
+    hubs = rows.groupBy(F.col("c").alias("_c"), F.col("k").alias("_k")).agg(best.alias("h")).select("_c", "h")
+    fits = (F.col("comp") != F.col("h.comp")) & _enough(F.least("u", F.col("h.u")), F.col("n"), F.col("h.n"), per_cent)
+    return rows.join(hubs, (F.col("c") == F.col("_c")) & fits).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
+
+
+def _open_groups(scratch: Scratch, open_stars: DataFrame, cored: DataFrame, per_cent: int) -> DataFrame:
+    """(bucket, node, n, comp, u, covered, side) of groups that hold all links left between members of a star.
+
+    A small star is one group, with U empty. In a large one let x and y be linked,
+    so that they share as many shingles as their sizes ask for. If one of them
+    holds fewer of U, they share some of what is left of them, and the first of
+    that in hash order is among ``first`` of either. If both hold as many, they
+    meet in the covered group of their two size classes, where ``side`` keeps texts
+    of one class from being paired unless both classes are the same, and where
+    only such pairs count; elsewhere side is null. Any U gives right groups.
+    """
+    nothing = F.lit(None).cast("int").alias("side")
+    small = open_stars.where(F.col("m") <= SMALL_STAR).select(F.xxhash64("c").alias("bucket"), "node", "n", "comp", F.lit(0).alias("u"), F.lit(False).alias("covered"), nothing)
+    comps = open_stars.select(F.col("c").alias("_c"), F.col("node").alias("_n"), "comp")
+    large = cored.join(comps, (F.col("c") == F.col("_c")) & (F.col("node") == F.col("_n"))).drop("_c", "_n")
+    # Of a class it matters how few shingles a member has, and how many of U its members have at most.
+    sizes = large.groupBy(F.col("c").alias("_z"), "k").agg(F.min("n").alias("low"), F.max("u").alias("most"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    sizes = sizes.groupBy("_z").agg(F.collect_list(F.struct("k", "low", "most", "x", "y")).alias("_sizes"))
+    both = large.join(sizes, F.col("c") == F.col("_z"))
+
+    def meets(z: Column) -> Column:
+        """Whether a text of another component and this class may be linked by what U holds of both."""
+        other = (z["x"] != F.col("comp")) | (z["y"] != F.col("comp"))
+        return other & _enough(F.least(F.col("u"), z["most"]), F.col("n"), z["low"], per_cent)
 
     covered = F.transform(F.filter("_sizes", meets), lambda z: F.struct(
-        F.xxhash64(F.lit("covered"), F.least(z["k"], F.col("_own")), F.greatest(z["k"], F.col("_own"))).alias("k"),
-        F.when(z["k"] != F.col("_own"), F.col("_own")).alias("side")))
-    shared = F.transform(first, lambda s: F.struct(F.xxhash64(F.lit("shingle"), s).alias("k"), F.lit(None).cast("int").alias("side")))
-    rows = both.select("c", "node", "n", "comp", F.explode(F.concat(shared, covered)).alias("_k"))
-    grouped = small.unionByName(rows.select(F.xxhash64("c", "_k.k").alias("bucket"), "node", "n", "comp", "_k.side"))
+        F.xxhash64(F.lit("covered"), F.least(z["k"], F.col("k")), F.greatest(z["k"], F.col("k"))).alias("k"), F.lit(True).alias("covered"),
+        F.when(z["k"] != F.col("k"), F.col("k")).alias("side")))
+    shared = F.transform("first", lambda s: F.struct(F.xxhash64(F.lit("shingle"), s).alias("k"), F.lit(False).alias("covered"), nothing))
+    rows = both.select("c", "node", "n", "comp", "u", F.explode(F.concat(shared, covered)).alias("_k"))
+    grouped = small.unionByName(rows.select(F.xxhash64("c", "_k.k").alias("bucket"), "node", "n", "comp", "u", "_k.covered", "_k.side"))
     grouped = scratch.write(grouped)
     # Overlapping shingles make many groups of the same members: one of each is enough.
-    who = F.xxhash64("node", F.coalesce("side", F.lit(-1)))
+    who = F.xxhash64("node", "u", "covered", F.coalesce("side", F.lit(-1)))
     apart = grouped.groupBy("bucket").agg(
         F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"), F.bit_xor(who).alias("s1"), F.bit_xor(F.xxhash64(who, F.lit(7))).alias("s2"))
     apart = apart.where("x < y").groupBy("m", "s1", "s2").agg(F.min("bucket").alias("_b")).select("_b")
     return grouped.join(apart, F.col("bucket") == F.col("_b"), "left_semi")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, per_cent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of (doc_id, text).
 
@@ -260,16 +306,26 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, per_c
         nodes.select(F.col("node").alias("u")).distinct(), "u", "left_semi"))]
     tested = stars.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"))
     links.append(scratch.write(linked(tested, sets, per_cent)))
-    labels = components(scratch, links[0].unionByName(links[1]))
-    active = scratch.write(_open_groups(scratch, stars, sets, labels, per_cent))
+    labels = components(scratch, _union(links))
+    open_stars = _open_stars(scratch, stars, labels)
+    cored = _cored(scratch, open_stars, sets, per_cent)
+    pairs = scratch.write(_hub_pairs(open_stars, cored, per_cent).distinct().join(tested, ["a", "b"], "left_anti"))
+    links.append(scratch.write(linked(pairs, sets, per_cent)))
+    tested = tested.unionByName(pairs)
+    scratch.drop(labels, open_stars)
+    labels = components(scratch, _union(links))
+    active = scratch.write(_open_groups(scratch, _open_stars(scratch, stars, labels), cored, per_cent))
     centres_each = FIRST_CENTRES
     while not active.isEmpty():
-        sizes = active.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
-        order = Window.partitionBy("bucket").orderBy("comp_size", "node")
-        ranked = active.join(sizes, "comp").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= centres_each)
-        centres = scratch.write(ranked.select(F.col("bucket").alias("_b"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"), F.col("side").alias("cs")))
+        held = active.groupBy(F.col("bucket").alias("_b"), "comp").agg(F.count(F.lit(1)).alias("k"))
+        major = held.groupBy("_b").agg(F.max_by("comp", F.struct("k", "comp")).alias("_major"))
+        order = Window.partitionBy("bucket").orderBy(F.col("comp") == F.col("_major"), "node")  # members of the largest component last
+        ranked = active.join(major, F.col("bucket") == F.col("_b")).drop("_b").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= centres_each)
+        centres = scratch.write(ranked.select(F.col("bucket").alias("_b"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"), F.col("u").alias("cu"), F.col("side").alias("cs")))
         across = F.col("side").isNull() | (F.col("side") != F.col("cs"))
-        fits = across & (F.col("comp") != F.col("cc")) & (100 * F.least("n", "cn") >= per_cent * F.greatest("n", "cn"))
+        inside, outside = F.least("u", "cu"), F.least(F.col("n") - F.col("u"), F.col("cn") - F.col("cu"))
+        most = inside + F.when(F.col("covered"), F.lit(0)).otherwise(outside)  # shingles that the two can share, as far as this group has to tell
+        fits = across & (F.col("comp") != F.col("cc")) & _enough(most, F.col("n"), F.col("cn"), per_cent)
         own = centres.select(F.col("_b").alias("_cb"), F.col("c").alias("_cn"), F.lit(True).alias("_is"))
         marked = active.join(own, (F.col("bucket") == F.col("_cb")) & (F.col("node") == F.col("_cn")), "left").drop("_cb", "_cn")
         once = F.col("_is").isNull() | (F.col("c") < F.col("node"))  # two centres meet once
@@ -278,13 +334,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, per_c
         pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"))
         links.append(scratch.write(linked(pairs, sets, per_cent)))
         tested = tested.unionByName(pairs)
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
         scratch.drop(labels)
-        labels = components(scratch, edges)
+        labels = components(scratch, _union(links))
         left = marked.where(F.col("_is").isNull()).drop("comp", "_is").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-        left = left.select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"), "side")
+        left = left.select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"), "u", "covered", "side")
         open_ = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(F.col("bucket").alias("_b"))
         again = scratch.write(left.join(open_, F.col("bucket") == F.col("_b"), "left_semi"))
         scratch.drop(active, centres)
@@ -303,16 +356,18 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, per_c
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the one with the smallest doc_id; same columns.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id stay.
+    Of rows that repeat a doc_id the first stays, in the order of their columns as
+    JSON. Rows with a null doc_id stay.
     """
     kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
     kept = Scratch(docs.sparkSession, "kept").write(kept)
-    ids = kept.where(F.col("doc_id").isNotNull())
-    repeated = not ids.groupBy("doc_id").count().where("count > 1").isEmpty()
+    ids = kept.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
     rows = wrapped(docs, "doc_id")
-    stay = rows.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
-    stay = stay.dropDuplicates(["doc_id"]) if repeated else stay
-    return stay.unionByName(rows.where(F.col("doc_id").isNull())).select("row.*")
+    stay = rows.join(ids, F.col("doc_id") == F.col("_id"))
+    if not ids.where("_rows > 1").isEmpty():
+        first = stay.where("_rows > 1").groupBy("doc_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        stay = stay.where("_rows = 1").select("row", "doc_id").unionByName(first)
+    return stay.select("row").unionByName(rows.where(F.col("doc_id").isNull()).select("row")).select("row.*")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

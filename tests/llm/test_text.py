@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import licenses, neardup, packing, quality, substring
 from gleaner.llm import words as wd
+from gleaner.runtime import Scratch
 
 SF = "/root/testdata/sf0.001"
 SPACES = " \t\n\x0b\x0c\r"
@@ -100,6 +101,50 @@ def test_chains_and_centres(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == _brute(rows)
 
 
+def _family(seed, copies, others):
+    """Near copies with up to nine edits, of which many end near the threshold, and texts that share one passage."""
+    rng = random.Random(seed)
+    base, passage = [f"b{k}" for k in range(120)], [f"p{k}" for k in range(30)]
+    rows = []
+    for i in range(copies):
+        now = base[:]
+        for e in range(rng.randrange(10)):
+            at = rng.randrange(len(now))
+            now[at : at + 1] = rng.choice(([], [f"x{i}.{e}"], [now[at], f"y{i}.{e}"], [f"x{i}.{e}"]))
+        rows.append((i, " ".join(now), "en", "a", 1))
+    for i in range(others):
+        rows.append((copies + i, " ".join(passage + [f"o{rng.randrange(10**6)}" for _ in range(rng.choice((2, 4, 60)))]), "en", "a", 1))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_large_families_cost_few_pairs(spark, monkeypatch):
+    """No link is lost, and the rows of the joins that pair texts grow like the family and not like its square."""
+    made = []
+    write = Scratch.write
+
+    def counted(self, df):
+        out = write(self, df)
+        if df.columns == ["a", "b"]:
+            made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    for n in (150, 300):
+        rows = _family(n, n, n // 3)
+        made.append(0)
+        got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == _brute(rows)
+    assert made[1] <= 3 * made[0] and made[1] <= 10 * 400
+
+
+def test_one_of_rows_that_repeat_an_id_stays(spark):
+    rows = [(1, "b b", "en", "a", 1), (1, "a a", "de", "a", 1), (1, "a a", "en", "a", 1), (2, "c", None, None, None)]
+    for parts in (1, 3):
+        out = neardup.drop_near_duplicates(spark.createDataFrame(rows, DOCS).repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["text"], r["lang"]) for r in out) == [(1, "a a", "de"), (2, "c", None)]
+
+
 def test_near_duplicate_filter(spark):
     docs = with_extra(odd_docs(spark))
     out = neardup.drop_near_duplicates(docs)

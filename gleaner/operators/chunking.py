@@ -6,6 +6,9 @@ substring between its offsets.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +87,10 @@ def _finish(files: DataFrame, parts: Column, path: Column | None, cap: int, over
     return split_oversized(rows, cap, overlap).drop("_part", "_p", "_at", "_t")
 
 
+#: Where a text may be cut, best first: a mark, the part of a span that must come before it, and the mark's length.
+BREAKS = ((re.compile(r"(?=\n\n)"), 2, 2), (re.compile(r"\n"), 2, 1), (re.compile(r"\s"), 0, 1))
+
+
 def cut_spans(text: str, cap: int, overlap: int) -> list[tuple[int, int]]:
     """Spans of at most ``cap`` characters that cover a text.
 
@@ -91,32 +98,27 @@ def cut_spans(text: str, cap: int, overlap: int) -> list[tuple[int, int]]:
     half, else after the last line break there, else after the last white space
     anywhere in it, else at the cap. The next one starts ``overlap`` before its
     end, but always at least one character after its start.
+
+    All marks of a text are listed once; a span's end is then a search in the lists.
     """
-    spans, at, n = [], 0, len(text)
-    while at < n:
-        end = min(n, at + cap)
-        if end < n:
-            end = _break_before(text, at, end)
-        spans.append((at, end))
-        if end == n:
-            break
-        at = max(at + 1, end - overlap)
+    if len(text) <= cap:
+        return [(0, len(text))] if text else []
+    listed = [([m.start() for m in mark.finditer(text)], part, size) for mark, part, size in BREAKS]
+
+    def end_of(at: int) -> int:
+        for places, part, size in listed:
+            last = bisect_right(places, at + cap - size) - 1
+            if last >= 0 and places[last] >= at + (cap // part if part else 0):
+                return places[last] + size
+        return at + cap
+
+    spans = [(0, end_of(0))]
+    while spans[-1][1] < len(text):
+        at = max(spans[-1][0] + 1, spans[-1][1] - overlap)
+        spans.append((at, end_of(at) if at + cap < len(text) else len(text)))
     return spans
 
 
-def _break_before(text: str, start: int, end: int) -> int:
-    half = start + (end - start) // 2
-    for mark in ("\n\n", "\n"):
-        found = text.rfind(mark, half, end)
-        if found >= 0:
-            return found + len(mark)
-    head = text[start:end]
-    solid = len(head)
-    while solid and not head[solid - 1].isspace():
-        solid -= 1
-    return start + solid if solid else end
-
-
 def split_oversized(rows: DataFrame, cap: int, overlap: int) -> DataFrame:
     """Cut parts (_part, _at, _t) at the cap and number what results per source_path.
 

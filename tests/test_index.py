@@ -208,25 +208,36 @@ def _toml(tmp_path, **changes):
 
 
 @pytest.mark.parametrize(("changes", "match"), [
-    ({"db": ""}, "db_path"), ({"db": "db_path = 1"}, "must be a str"), ({"embedding": '[embedding]\nprovider="p"\nmodel="m"\nurl="u"\ndim=true'}, "got bool"),
-    ({"sources": "sources = []"}, "at least one"), ({"sources": "sources = [1]"}, "must be a table"), ({"store": "[store]\nkeep_runs = 2.5"}, "integer"), ({"store": "[store]\nkeep_runs = -1"}, ">= 0"),
-    ({"store": "[store]\nkeep_runs = true"}, "integer"), ({"store": 'ignore = "x"'}, "ignore"), ({"store": "respect_gitignore = 1"}, "boolean"), ({"store": 'status_field = ""'}, "status_field"),
-    ({"store": 'date_fields = [""]'}, "date_fields"), ({"db": "x ="}, "invalid TOML"),
+    ({"db": ""}, "db_path: is needed"), ({"db": "db_path = 1"}, "db_path: should be a text, not 1"), ({"embedding": '[embedding]\nprovider="p"\nmodel="m"\nurl="u"\ndim=true'}, "embedding.dim: .* not True"),
+    ({"embedding": '[embedding]\nmodel=2\nurl="u"\ndim=8'}, "embedding.provider: is needed; embedding.model: should be a text"), ({"embedding": "embedding = 1"}, "embedding: should be a table"),
+    ({"sources": "sources = []"}, "sources: should be a list"), ({"sources": "sources = [1]"}, "sources.0.: should be a table"), ({"store": "[store]\nkeep_runs = 2.5"}, "store.keep_runs"), ({"store": "[store]\nkeep_runs = -1"}, "from 0"),
+    ({"store": "[store]\nkeep_runs = true"}, "store.keep_runs"), ({"store": 'ignore = "x"'}, "ignore: should be a list"), ({"store": "respect_gitignore = 1"}, "true or false"), ({"store": 'status_field = ""'}, "status_field"),
+    ({"store": 'date_fields = [""]'}, "date_fields"), ({"db": "x ="}, "not TOML"), ({"store": 'type = "prose"', "sources": '[[sources]]\nname="n"\npath="/absent"'}, "type: should be one of code, markdown, not 'prose'; .*path: should be"),
 ])
 def test_bad_configs(tmp_path, changes, match):
-    if changes.get("sources", "").startswith("sources"):
-        changes = {"db": f'db_path = "x"\n{changes["sources"]}', "sources": ""}
+    if changes.get("sources", "").startswith("sources") or changes.get("embedding", "").startswith("embedding"):
+        top = [v for v in changes.values() if v[0] != "["]
+        changes = {"db": "\n".join(['db_path = "x"', *top]), **{k: "" for k in changes}}
     with pytest.raises(ConfigError, match=match):
         cfg.load(_toml(tmp_path, **changes))
 
 
+def test_repeated_names(tmp_path):
+    source = f'[[sources]]\nname="notes"\npath="{tmp_path}"\ntype="code"\n'
+    with pytest.raises(ConfigError, match="sources.1..name: 'notes' is taken"):
+        cfg.load(_toml(tmp_path, sources=source * 2))
+
+
 def test_config_defaults(tmp_path, monkeypatch):
     config = cfg.load(_toml(tmp_path, store="date_fields = []"))
     assert config.keep_runs == 24 and config.sources[0].frontmatter.date_fields == () and config.sources[0].ignore == []
-    with pytest.raises(ConfigError, match="not found"):
+    with pytest.raises(ConfigError, match="no such file"):
         cfg.load(tmp_path / "absent")
     monkeypatch.setenv(cfg.ENV, str(tmp_path / "c.toml"))
     assert cfg.default_path() == tmp_path / "c.toml"
+    (tmp_path / "latin").write_bytes(b"\xe9 = 1")
+    with pytest.raises(ConfigError, match="not UTF-8"):
+        cfg.load(tmp_path / "latin")
 
 
 def test_command_line(spark, tmp_path, capsys):

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Lexical boost: at most WEIGHT, half of it at PIVOT.
 BOOST_WEIGHT, BOOST_PIVOT = 0.15, 10.0
@@ -28,14 +27,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / F.when(size == 0, F.lit(1.0)).otherwise(size))
 
 
-@F.pandas_udf(T.DoubleType())
-def cosine_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same, for wide vectors and many pairs: one matrix operation per batch."""
-    x, y = np.array(a.tolist(), dtype=np.float64), np.array(b.tolist(), dtype=np.float64)
-    if not len(x):
-        return pd.Series([], dtype=float)
-    size = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
-    return pd.Series(np.divide((x * y).sum(axis=1), size, out=np.zeros(len(x)), where=size != 0))
+def unit_rows(column: pa.Array, width: int) -> np.ndarray:
+    """A list column as rows of length 1 in double precision; rows of zeros stay."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size != 0)
 
 
 def is_valid(v: Column, width: int) -> Column:

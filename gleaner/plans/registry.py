@@ -322,11 +322,16 @@ def stale_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that occur in documents expect those files; the others are negative.
 
-    Passages are broadcast if they are few; each document is searched once.
+    The passages travel with the tasks in blocks, and only those found leave them.
     """
     items = table(spark, sf_dir, "benchmark")
     passages = items.select("item_id", F.col("text").alias("passage"))
-    found = files(spark, sf_dir).join(F.broadcast(passages) if ranking.is_small(items) else passages, F.contains("text", "passage"))
+    hits = None
+    for block in ranking.blocks(passages.select(F.col("item_id").alias("query_id"), "passage")):
+        asked = F.lit([r["passage"] for r in block] or [""])
+        here = files(spark, sf_dir).select("source_path", F.explode(F.filter(asked, lambda p: F.contains("text", p))).alias("passage"))
+        hits = here if hits is None else hits.unionByName(here)
+    found = hits.join(passages, "passage")
     paths = found.groupBy("item_id").agg(F.array_sort(F.collect_list("source_path")).alias("expected_paths"))
     joined = items.join(paths, "item_id", "left")
     return joined.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "expected_paths", F.when(F.col("expected_paths").isNull(), F.lit(0.5)).alias("expect_max_cosine"))

@@ -1,6 +1,11 @@
 import math
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleaner.errors import EvalError
@@ -95,11 +100,35 @@ def test_stitching_over_a_gap(spark):
 
 def test_vector_functions(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.6, 0.8]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
-    rows = df.select(vx.cosine(F.col("a"), F.col("b")).alias("c"), vx.cosine_arrow("a", "b").alias("d"), vx.lexical_boost(F.lit(10.0)).alias("x")).collect()
-    assert math.isclose(rows[0]["c"], 0.6, abs_tol=1e-7) and rows[1]["c"] == 0 and all(math.isclose(r["c"], r["d"], abs_tol=1e-9) for r in rows)
+    rows = df.select(vx.cosine(F.col("a"), F.col("b")).alias("c"), vx.lexical_boost(F.lit(10.0)).alias("x")).collect()
+    assert math.isclose(rows[0]["c"], 0.6, abs_tol=1e-7) and rows[1]["c"] == 0
+    assert vx.unit_rows(pa.array([[3.0, 4.0], [0.0, 0.0]]), 2).tolist() == [[0.6, 0.8], [0.0, 0.0]]
     assert rows[0]["x"] == 0.075
 
 
+@given(st.lists(st.lists(st.sampled_from([0.0, 0.5, 0.5 + 1e-12, -1.0]), min_size=3, max_size=3), max_size=12), st.integers(1, 5))
+def test_best_rows_of_a_batch(rows, cut):
+    scores = np.array(rows).reshape(len(rows), 3)
+    got = list(zip(*ranking.best_rows(scores, cut), strict=True))
+    assert got == [(c, r) for c in range(3) for r in sorted(range(len(rows)), key=lambda r: (-round(rows[r][c], 9), r))[:cut]]
+
+
+def test_blocks_of_queries_and_odd_vectors(spark, monkeypatch):
+    """More queries than a block takes, vectors that are null or of another width, and a query without one."""
+    rng = random.Random(1)
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)] + [None, [1.0, 2.0], [0.0] * 4]
+    corpus = spark.createDataFrame([(f"s{i % 3}", f"{i:02}", f"word{i % 5}", v) for i, v in enumerate(vectors)], "source_name string, id string, text string, vector array<float>")
+    queries = ranking.make_queries(spark, [(i, f"word{i}", vectors[i]) for i in range(9)] + [(9, "word1", None)])
+    best = lambda: sorted((r["query_id"], r["source_name"], r["vector_rank"], r["id"], round(r["cosine"], 9)) for r in ranking.vector_candidates(corpus, queries, 4).collect())
+    whole = best()
+    monkeypatch.setattr(ranking, "ASKED", 3)
+    assert best() == whole
+    assert len(whole) == 9 * 3 * 4 and {r[0] for r in whole} == set(range(9))
+    monkeypatch.setattr(ranking, "LISTED_TERMS", 2)
+    by_words = sorted((r["query_id"], r["id"]) for r in ranking.lexical_candidates(corpus, queries, 50).collect())
+    assert by_words == sorted((q, f"{i:02}") for q, w in [(q, q) for q in range(5)] + [(9, 1)] for i in range(43) if i % 5 == w)
+
+
 def test_evaluation(spark, tmp_path):
     corpus = _corpus(spark, ("s", "/n/a.md", "alpha topic", E1), ("s", "/n/b.md", "beta", [0.9, 0.1, 0, 0]), ("s", "/n/a.md", "alpha again", [0.99, 0.05, 0, 0]))
     corpus = corpus.withColumn("id", F.concat("source_path", F.lit("::"), F.length("text").cast("string")))

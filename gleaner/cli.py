@@ -1,4 +1,4 @@
-"""Command line: list, index, search, eval and status.
+"""Command line: list, index, search, eval, status and serve.
 
 Exit codes: 0 done, 2 wrong usage or configuration, 3 no embedding service,
 4 a table with old columns.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 from collections import Counter
 from datetime import UTC, datetime
@@ -16,11 +17,12 @@ from pathlib import Path
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.errors import ConfigError, EmbedderError, EvalError, StaleSchemaError
+from gleaner.errors import ConfigError, EmbedderError, EvalError, StaleSchemaError, StoreError
 from gleaner.operators import evaluation, ranking
 from gleaner.operators.embedding import HashingEmbedder, HttpEmbedder
 from gleaner.operators.indexer import index_source
 from gleaner.operators.store import FreshnessLog, Store
+from gleaner.service import Server, build_tools
 from gleaner.sources import config as cfg
 
 USAGE, NO_EMBEDDER, STALE = 2, 3, 4
@@ -64,7 +66,7 @@ class App:
         names = [s.name for s in self.config.sources] if sources is None else sources
         if not query.strip() or not names:
             return []
-        return ranking.search(self.store.corpus(names), query, self.embedder, None, k, context_chunks).collect()  # 100 rows at most
+        return ranking.search(self.store.corpus(names), query, self.embedder, None, k, context_chunks, self.store.terms(names)).collect()  # 100 rows at most
 
     def index_status(self) -> dict:
         counts, runs, now = self.store.counts(), self.freshness.read(), self.clock()
@@ -111,6 +113,7 @@ def _print_hit(place: int, hit: Row) -> None:
 def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="gleaner")
     parser.add_argument("--config", type=Path)
+    parser.add_argument("--log-level", default="WARNING", choices=("DEBUG", "INFO", "WARNING", "ERROR"))
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("list")
     commands.add_parser("status")
@@ -122,6 +125,7 @@ def _arguments() -> argparse.ArgumentParser:
     search.add_argument("--sources", nargs="+")
     search.add_argument("-k", type=int, default=10)
     search.add_argument("--context", type=int, default=0)
+    commands.add_parser("serve")
     check = commands.add_parser("eval")
     check.add_argument("--golden", type=Path, default=Path("eval/golden.toml"))
     check.add_argument("-k", type=int, default=5)
@@ -146,6 +150,9 @@ def _run(app: App, args: argparse.Namespace) -> None:
             _print_hit(i, hit)
         if not hits:
             print("no results")
+    elif args.command == "serve":
+        app.healthy()
+        Server(build_tools(app)).serve(sys.stdin, sys.stdout)
     else:
         golden = evaluation.load_golden(app.spark, args.golden)
         names = [n for n in app.known(None) if n in app.store.names()]
@@ -166,10 +173,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except SystemExit as e:
         return int(e.code or 0)
     try:
+        logging.basicConfig(stream=sys.stderr, level=args.log_level, format="%(asctime)s %(levelname)s %(name)s: %(message)s")  # the output is for results alone
         config = cfg.load(args.config or cfg.default_path())
         spark = spark or SparkSession.builder.appName("gleaner").getOrCreate()
         _run(App(spark, config), args)
-    except (ConfigError, EvalError) as e:
+    except (ConfigError, EvalError, StoreError) as e:
         print(f"error: {e}", file=sys.stderr)
         return USAGE
     except Exit as e:

@@ -15,3 +15,7 @@ class EvalError(Exception):
 
 class StaleSchemaError(Exception):
     """A table lacks columns that this version writes."""
+
+
+class StoreError(Exception):
+    """A file of the database can't be read or written, or too many write at once."""

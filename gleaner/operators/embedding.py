@@ -10,10 +10,10 @@ import hashlib
 import json
 import math
 import re
-import urllib.error
-import urllib.request
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from http.client import HTTPConnection, HTTPException, HTTPSConnection, RemoteDisconnected
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,28 +64,65 @@ class HashingEmbedder:
         return None
 
 
-@dataclass(frozen=True)
+@dataclass
 class HttpEmbedder:
-    """Client of an embedding service with /api/tags and /api/embed."""
+    """Client of an embedding service with /api/tags and /api/embed.
+
+    One connection serves all calls until ``close``; a task opens its own. A
+    connection that the caller hands in is used as it is and never closed here.
+    """
 
     url: str
     model: str
     dim: int
     batch_size: int = BATCH
     timeout: float = 60.0
+    connection: HTTPConnection | None = None
 
     def __post_init__(self) -> None:
         if self.batch_size <= 0:
             raise ValueError("batch_size must be positive")
+        self._own: HTTPConnection | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"connection": None, "_own": None}  # a socket stays where it was opened
+
+    def __enter__(self) -> HttpEmbedder:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        if self._own is not None:
+            self._own.close()
+            self._own = None
+
+    def _line(self) -> HTTPConnection:
+        if self.connection is not None:
+            return self.connection
+        if self._own is None:
+            at = urlsplit(self.url)
+            self._own = (HTTPSConnection if at.scheme == "https" else HTTPConnection)(at.netloc, timeout=self.timeout)
+        return self._own
 
     def _call(self, path: str, payload: dict | None = None) -> dict:
-        body = json.dumps(payload).encode() if payload is not None else None
-        request = urllib.request.Request(self.url.rstrip("/") + path, data=body, headers={"Content-Type": "application/json"})
-        try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                return json.loads(answer.read())
-        except (urllib.error.URLError, OSError, ValueError) as e:
-            raise EmbedderError(f"embedding service at {self.url}: {e}") from e
+        body = None if payload is None else json.dumps(payload)
+        for again in (True, False):
+            line = self._line()
+            kept = line.sock is not None
+            try:
+                line.request("GET" if body is None else "POST", urlsplit(self.url).path.rstrip("/") + path, body, {"Content-Type": "application/json"})
+                answer = line.getresponse()
+                content = answer.read()
+                if answer.status != 200:
+                    raise EmbedderError(f"embedding service at {self.url}: {answer.status} {answer.reason}")
+                return json.loads(content)
+            except (HTTPException, OSError, ValueError) as e:
+                line.close()
+                if not (again and kept and isinstance(e, (RemoteDisconnected, ConnectionError))):  # the service may have ended a line that was kept
+                    raise EmbedderError(f"embedding service at {self.url}: {e}") from e
+        raise AssertionError
 
     def health_check(self) -> None:
         """Raise unless the service answers and has the model, with or without a tag."""
@@ -116,8 +153,10 @@ class HttpEmbedder:
 
     def embed_column(self, text: Column) -> Column:
         @F.pandas_udf("array<float>")
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series(self.embed(texts), dtype=object)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            with self as client:
+                for texts in batches:
+                    yield pd.Series(client.embed(texts), dtype=object)
 
         return run(text)
 

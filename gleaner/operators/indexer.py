@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.errors import StaleSchemaError
+from gleaner.errors import EmbedderError, StaleSchemaError
 from gleaner.functions import text as tx
 from gleaner.operators import chunking, schema
 from gleaner.operators.status import CHANGES
@@ -25,6 +26,14 @@ def make_chunks(changed: DataFrame, source: SourceConfig, embedder) -> DataFrame
     return chunks.withColumn("id", tx.chunk_id(F.col("source_path"), F.col("chunk_index"))).select(*schema.CHUNK_SCHEMA.names)
 
 
+def _embedding_fault(error: Exception) -> str | None:
+    """What an embedder said is wrong, also from within a task; None for any other error."""
+    if not isinstance(error, PythonException):
+        return str(error).strip() or type(error).__name__
+    said = [line.partition("EmbedderError:") for line in str(error).splitlines()]
+    return next((what.strip()[:500] or EmbedderError.__name__ for _, mark, what in said if mark), None)
+
+
 def index_source(store: Store, source: SourceConfig, embedder, force: bool = False) -> list[dict]:
     """Bring a source's table up to date; one result per file that was looked at.
 
@@ -55,8 +64,11 @@ def index_source(store: Store, source: SourceConfig, embedder, force: bool = Fal
     try:
         chunks = scratch.write(make_chunks(changed, source, embedder))
         counts = chunks.groupBy(F.col("source_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    except Exception as e:  # the service or a vector; old rows stay
-        failed = (str(e).strip() or type(e).__name__).split("\n")[0][:500]
+        schema.check_width(chunks, store.dim)
+    except (EmbedderError, PythonException, ValueError) as e:  # the service or its vectors; old rows stay
+        failed = _embedding_fault(e)
+        if failed is None:
+            raise
     outcome = changed.select("path").join(counts, "path", "left").select(
         "path", F.lit("error").alias("status") if failed else F.when(F.col("n").isNull(), "empty").otherwise("embedded").alias("status"),
         F.coalesce("n", F.lit(0)).alias("chunk_count"), F.lit(failed).cast("string").alias("error"))

@@ -1,31 +1,44 @@
-"""Snapshot store: immutable versions of one table per source, and a manifest.
-
-``<db>/<source>/v=<n>/*.parquet`` never changes once it is there. A run writes the
-next version from the current one, swaps the manifest by an atomic rename and then
-removes versions that no kept run needs, so that readers never see half a change.
-Paths go through Hadoop's file systems and may be in any store Spark can reach.
+"""Snapshot store: tables as lists of immutable parts, and a manifest that names them.
+
+A change writes one part: its new rows, the postings of their texts, and the paths
+or ids whose older rows it hides. It costs what has changed, not what is stored. A
+version is a list of parts; a row is seen unless a later part of the list hides it.
+When a version has gathered ``MERGE_AT`` parts, ``optimize`` writes one part in
+their place. Parts never change once they are there, and manifests are numbered
+files of which a number is taken once, so that readers never see half a change and
+of two writers the second builds on the first. Paths go through Hadoop's file
+systems and may be in any store Spark can reach.
 """
 
 from __future__ import annotations
 
 import json
 import logging
+import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleaner.errors import StaleSchemaError
+from gleaner.errors import StaleSchemaError, StoreError
 from gleaner.operators import schema
+from gleaner.operators.ranking import TermIndex, count_terms
 from gleaner.operators.status import CHANGES, FAILURES
+from gleaner.runtime import delete_path
 
 log = logging.getLogger(__name__)
 
 KEEP_RUNS = 24
-#: Rows a file of a version should have.
-ROWS_PER_FILE = 200_000
+#: Rows a file of a part should have, and parts of a version from which ``optimize`` merges them.
+ROWS_PER_FILE, MERGE_AT = 200_000, 16
+#: Manifests that are kept, for readers that have just looked the newest one up.
+KEPT_MANIFESTS = 10
 _FOREVER = timedelta(days=36_500)
+_TERMS = "source_path string, id string, dl int, term string, tf long"
+_GONE = "source_path string, id string"
 
 
 def upsert(current: DataFrame, new: DataFrame) -> DataFrame:
@@ -42,6 +55,11 @@ def without_file(current: DataFrame, path: str) -> DataFrame:
     return current.where(~F.col("source_path").eqNullSafe(F.lit(path)))
 
 
+def by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids`` (id); repeated ids don't repeat rows."""
+    return chunks.join(ids.select("id"), "id", "left_semi").select(*chunks.columns)
+
+
 def file_hashes(chunks: DataFrame) -> DataFrame:
     """One hash per path; only these two columns are read."""
     return chunks.groupBy("source_path").agg(F.min("file_hash").alias("file_hash"))
@@ -64,90 +82,203 @@ def keep_since(history: list[str], keep_runs: int, now: datetime) -> timedelta:
         return _FOREVER
 
 
-class JsonFile:
-    """A small JSON object in a file that is replaced as a whole."""
+class Files:
+    """Small files in whatever store a path is in. Errors are raised as ``StoreError``."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.hadoop = spark, spark._jvm.org.apache.hadoop.fs
 
-    def read(self) -> dict:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _fs(self, path: str):
+        at = self.hadoop.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def read(self, path: str) -> bytes | None:
+        """What is in a file, or None if there is no such file. Any other trouble is an error."""
         try:
-            stream = fs.open(path)
+            at, fs = self._fs(path)
+            stream = fs.open(at)
             try:
-                value = json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+                return bytes(stream.readAllBytes())
             finally:
                 stream.close()
-        except (Py4JJavaError, ValueError):
-            return {}
-        return value if isinstance(value, dict) else {}
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() in ("FileNotFoundException", "NoSuchFileException"):
+                return None
+            raise StoreError(f"could not read {path}: {e.java_exception}") from e
 
-    def write(self, value: dict) -> None:
-        """Write beside and rename over; a failure is logged, not raised."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        conf = self.spark._jsc.hadoopConfiguration()
-        path, beside = hadoop.Path(self.path), hadoop.Path(self.path + ".tmp")
+    def names(self, folder: str) -> list[str]:
+        try:
+            at, fs = self._fs(folder)
+            return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        except Py4JJavaError as e:
+            raise StoreError(f"could not list {folder}: {e.java_exception}") from e
+
+    def write(self, path: str, content: bytes, replace: bool) -> bool:
+        """Write beside and rename. Without ``replace``, False if there is such a file already."""
         try:
-            fs = path.getFileSystem(conf)
-            fs.mkdirs(path.getParent())
+            at, fs = self._fs(path)
+            beside = self.hadoop.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+            fs.mkdirs(at.getParent())
             stream = fs.create(beside, True)
             try:
-                stream.write(bytearray(json.dumps(value, indent=2).encode("utf-8")))
+                stream.write(bytearray(content))
             finally:
                 stream.close()
-            rename = getattr(hadoop, "Options$Rename")
+            rename = getattr(self.hadoop, "Options$Rename")
             how = self.spark.sparkContext._gateway.new_array(rename, 1)
-            how[0] = rename.OVERWRITE
-            hadoop.FileContext.getFileContext(path.toUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(path), how)
+            how[0] = rename.OVERWRITE if replace else rename.NONE
+            try:
+                self.hadoop.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(at), how)
+            except Py4JJavaError as e:
+                fs.delete(beside, False)
+                if not replace and e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                    return False
+                raise
+            return True
         except Py4JJavaError as e:
-            log.warning("could not write %s: %s", self.path, e.java_exception)
+            raise StoreError(f"could not write {path}: {e.java_exception}") from e
+
+
+class JsonFile:
+    """A small JSON object beside the tables. Losing it loses a report, so it never stops a run."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.files, self.path = Files(spark), path
+
+    def read(self) -> dict:
+        try:
+            value = json.loads(self.files.read(self.path) or b"{}")
+        except (StoreError, ValueError) as e:
+            log.warning("%s is not used: %s", self.path, e)
+            return {}
+        return value if isinstance(value, dict) else {}
+
+    def write(self, value: dict) -> None:
+        try:
+            self.files.write(self.path, json.dumps(value, indent=2).encode("utf-8"), replace=True)
+        except StoreError as e:
+            log.warning("%s", e)
+
+
+class Manifest:
+    """Which versions each table has, as numbered files; the largest number holds.
+
+    Tables are lost if this is, so nothing is taken for empty that can't be read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.files, self.folder = Files(spark), folder
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self.files.names(self.folder) if n.endswith(".json") and n[:-5].isdigit())
+
+    def read(self) -> tuple[int, dict]:
+        for _ in range(3):  # the one looked up may have been cleared away by then
+            numbers = self._numbers()
+            if not numbers:
+                return 0, {}
+            content = self.files.read(f"{self.folder}/{numbers[-1]}.json")
+            if content is not None:
+                try:
+                    return numbers[-1], json.loads(content)
+                except ValueError as e:
+                    raise StoreError(f"{self.folder}/{numbers[-1]}.json is damaged: {e}") from e
+        raise StoreError(f"{self.folder} has no manifest that can be read")
+
+    def change(self, edit: Callable[[dict], dict | None], tries: int = 20) -> dict:
+        """Apply ``edit`` to the newest state, again if someone was faster; None from it leaves all as it is."""
+        for _ in range(tries):
+            number, tables = self.read()
+            new = edit(tables)
+            if new is None:
+                return tables
+            if self.files.write(f"{self.folder}/{number + 1}.json", json.dumps(new, indent=2).encode("utf-8"), replace=False):
+                for old in self._numbers()[:-KEPT_MANIFESTS]:
+                    delete_path(self.files.spark, f"{self.folder}/{old}.json")
+                return new
+        raise StoreError(f"{self.folder}: others were faster {tries} times")
 
 
 class Store:
     """Tables of one database."""
 
-    def __init__(self, spark: SparkSession, db_path: str, dim: int, keep_runs: int = KEEP_RUNS, clock=lambda: datetime.now(UTC)) -> None:
-        self.spark, self.db, self.dim, self.keep_runs, self.clock = spark, str(db_path).rstrip("/"), dim, keep_runs, clock
-        self.manifest = JsonFile(spark, f"{self.db}/manifest.json")
+    def __init__(self, spark: SparkSession, db_path: str, dim: int, keep_runs: int = KEEP_RUNS, clock=lambda: datetime.now(UTC), merge_at: int = MERGE_AT) -> None:
+        self.spark, self.db, self.dim, self.keep_runs, self.clock, self.merge_at = spark, str(db_path).rstrip("/"), dim, keep_runs, clock, merge_at
+        self.manifest = Manifest(spark, f"{self.db}/manifest")
         self.run_log = JsonFile(spark, f"{self.db}/run_log.json")
 
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.db}/{name}/v={version}"
+    def _path(self, name: str, part: dict) -> str:
+        return f"{self.db}/{name}/{part['part']}"
 
     def names(self) -> list[str]:
-        return sorted(self.manifest.read())
+        return sorted(self.manifest.read()[1])
 
     def versions(self, name: str) -> list[int]:
-        return [r["v"] for r in self.manifest.read().get(name, {}).get("versions", [])]
+        return [r["v"] for r in self.manifest.read()[1].get(name, {}).get("versions", [])]
+
+    def parts(self, name: str, version: int | None = None) -> list[dict]:
+        entry = self.manifest.read()[1][name]
+        wanted = entry["current"] if version is None else version
+        return next(r["parts"] for r in entry["versions"] if r["v"] == wanted)
 
     def ensure(self, name: str) -> None:
         """An empty table, unless there is one."""
-        if name not in self.manifest.read():
-            self._commit(name, self.spark.createDataFrame([], schema.CHUNK_SCHEMA))
+        if name not in self.manifest.read()[1]:
+            empty = self._write(name, self.spark.createDataFrame([], schema.CHUNK_SCHEMA), None)
+            self.manifest.change(lambda have: None if name in have else self._with(have, name, [empty]))
+
+    def _seen(self, name: str, parts: list[dict], read: Callable[[dict], DataFrame]) -> DataFrame:
+        """Rows of all parts, but for those whose path or id a later part hides."""
+        rows, gone = None, None
+        for i, part in enumerate(parts):
+            here = read(part).withColumn("_at", F.lit(i))
+            rows = here if rows is None else rows.unionByName(here, allowMissingColumns=True)
+            if part["hides"] and i:
+                hidden = self.spark.read.schema(_GONE).parquet(f"{self._path(name, part)}/gone").withColumn("_from", F.lit(i))
+                gone = hidden if gone is None else gone.unionByName(hidden)
+        for key in ("source_path", "id") if gone is not None else ():
+            last = gone.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("_from").alias("_from"))
+            rows = rows.join(last, (F.col(key) == F.col("_key")) & (F.col("_at") < F.col("_from")), "left_anti")
+        return rows.drop("_at")
 
     def raw(self, name: str, version: int | None = None) -> DataFrame:
-        entry = self.manifest.read()[name]
-        return self.spark.read.parquet(self._path(name, entry["current"] if version is None else version))
+        """A version in the columns that its parts were written with."""
+        rows = lambda part: self.spark.read.schema(T.StructType.fromJson(part["schema"])).parquet(f"{self._path(name, part)}/rows")
+        return self._seen(name, self.parts(name, version), rows)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """The current version (looked up now), in today's columns."""
         return schema.read_chunks(self.raw(name, version))
 
+    def by_ids(self, name: str, ids: list[str]) -> DataFrame:
+        """The rows of a few ids; the ids are a filter of the scan."""
+        return self.table(name).where(F.col("id").isin(*dict.fromkeys(ids)))
+
     def stale(self, names: list[str]) -> list[str]:
-        have = self.manifest.read()
-        return [n for n in names if n in have and schema.missing_columns(self.raw(n))]
+        """Tables of which a part that is still in use lacks columns."""
+        have = self.manifest.read()[1]
+        lacks = lambda part: set(schema.CHUNK_SCHEMA.names) - {f["name"] for f in part["schema"]["fields"]}
+        return [n for n in names if n in have and any(map(lacks, self.parts(n)))]
+
+    def _chosen(self, names: list[str] | None) -> list[str]:
+        have = self.names()
+        return have if names is None else [n for n in dict.fromkeys(names) if n in have]
 
     def corpus(self, names: list[str] | None = None) -> DataFrame:
         """All named tables with their source_name; names without a table are ignored."""
-        have = self.names()
-        chosen = have if names is None else [n for n in dict.fromkeys(names) if n in have]
         out = self.spark.createDataFrame([], schema.CHUNK_SCHEMA).withColumn("source_name", F.lit(""))
-        for name in chosen:
+        for name in self._chosen(names):
             out = out.unionByName(self.table(name).withColumn("source_name", F.lit(name)), allowMissingColumns=True)
         return out
 
+    def terms(self, names: list[str] | None = None) -> TermIndex:
+        """The postings of ``corpus(names)``, as written with its rows; a query's words reach their scan."""
+        out = self.spark.createDataFrame([], _TERMS).withColumn("source_name", F.lit(""))
+        for name in self._chosen(names):
+            read = lambda part, n=name: self.spark.read.schema(_TERMS).parquet(f"{self._path(n, part)}/terms")
+            out = out.unionByName(self._seen(name, self.parts(name), read).withColumn("source_name", F.lit(name)))
+        return TermIndex.over(out)
+
     def counts(self) -> dict[str, int]:
         return {n: self.raw(n).count() for n in self.names()}
 
@@ -156,64 +287,101 @@ class Store:
         if self.stale([name]):
             raise StaleSchemaError(f"table {name!r} lacks columns; index it with force")
         schema.check_width(new, self.dim)
-        self._commit(name, replace_files(self.table(name), gone, new.select(*schema.CHUNK_SCHEMA.names)))
+        self._commit(name, new.select(*schema.CHUNK_SCHEMA.names), gone.select("source_path", F.lit(None).cast("string").alias("id")))
 
     def upsert(self, name: str, new: DataFrame) -> None:
         if new.isEmpty():
             return
         schema.check_width(new, self.dim)
-        self._commit(name, upsert(self.table(name), new.select(*schema.CHUNK_SCHEMA.names)))
+        self._commit(name, new.select(*schema.CHUNK_SCHEMA.names), new.select(F.lit(None).cast("string").alias("source_path"), "id"))
 
     def delete_file(self, name: str, path: str) -> int:
         """Remove a file's rows and say how many there were."""
-        current = self.table(name)
-        n = current.where(F.col("source_path") == F.lit(path)).count()
+        n = self.table(name).where(F.col("source_path") == F.lit(path)).count()
         if n:
-            self._commit(name, without_file(current, path))
+            self._commit(name, self.spark.createDataFrame([], schema.CHUNK_SCHEMA), self.spark.createDataFrame([(path, None)], _GONE))
         return n
 
     def recreate(self, name: str) -> None:
         """An empty table in place of the old one; the run log forgets it."""
-        from gleaner.runtime import delete_path
-
-        have = self.manifest.read()
-        if have.pop(name, None):
-            self.manifest.write(have)
-            delete_path(self.spark, f"{self.db}/{name}")
+        self.manifest.change(lambda have: {n: e for n, e in have.items() if n != name} if name in have else None)
+        delete_path(self.spark, f"{self.db}/{name}")
         runs = self.run_log.read()
         if runs.pop(name, None) is not None:
             self.run_log.write(runs)
         self.ensure(name)
 
-    def _commit(self, name: str, rows: DataFrame) -> None:
-        have = self.manifest.read()
+    def _write(self, name: str, rows: DataFrame, gone: DataFrame | None) -> dict:
+        """Write a part that no version names yet. Postings are sorted, so that a search skips most of them."""
+        part = {"part": f"part={uuid.uuid4().hex[:16]}", "schema": rows.schema.jsonValue(), "hides": gone is not None}
+        path = self._path(name, part)
+        rows.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/rows")
+        written = self.spark.read.schema(rows.schema).parquet(f"{path}/rows")
+        terms = count_terms(written, ["source_path", "id"]).select("source_path", "id", "dl", "term", "tf")
+        terms.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        if gone is not None:
+            gone.select("source_path", "id").distinct().write.parquet(f"{path}/gone")
+        return part
+
+    def _with(self, have: dict, name: str, parts: list[dict]) -> dict:
+        """The state with one more version of a table."""
         entry = have.get(name, {"versions": []})
         version = max([r["v"] for r in entry["versions"]], default=0) + 1
-        rows.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(self._path(name, version))
-        entry["versions"].append({"v": version, "at": self.clock().isoformat()})
-        have[name] = entry | {"current": version}
-        self.manifest.write(have)
+        return have | {name: {"current": version, "versions": [*entry["versions"], {"v": version, "at": self.clock().isoformat(), "parts": parts}]}}
+
+    def _commit(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        part = self._write(name, rows, gone)
+
+        def add(have: dict) -> dict:
+            entry = have.get(name)
+            before = next(r["parts"] for r in entry["versions"] if r["v"] == entry["current"]) if entry else []
+            return self._with(have, name, [*before, part])
+
+        self.manifest.change(add)
+
+    def merge(self, name: str) -> None:
+        """One part in place of all; dropped if someone else has changed the table meanwhile."""
+        before = self.parts(name)
+        part = self._write(name, self.raw(name), None)
+        kept = []
+
+        def swap(have: dict) -> dict | None:
+            entry = have.get(name)
+            now = next(r["parts"] for r in entry["versions"] if r["v"] == entry["current"]) if entry else None
+            if now != before:
+                return None
+            kept.append(part)
+            return self._with(have, name, [part])
+
+        self.manifest.change(swap)
+        if not kept:
+            delete_path(self.spark, self._path(name, part))
 
     def optimize(self, name: str, keep_runs: int | None = None) -> None:
-        """Remove versions older than the kept runs, then note that a run has ended.
+        """Merge parts, remove versions older than the kept runs, then note that a run has ended.
 
         The current version always stays, and so does the state at the start of
-        the oldest kept run.
+        the oldest kept run. Parts go once no version in the manifest names them,
+        and only after that manifest is written.
         """
-        from gleaner.runtime import delete_path
-
+        if len(self.parts(name)) >= self.merge_at:
+            self.merge(name)
         keep = self.keep_runs if keep_runs is None else keep_runs
         runs = self.run_log.read()
         history = [t for t in runs.get(name, []) if isinstance(t, str)] if isinstance(runs.get(name), list) else []
         now = self.clock()
-        age, have = keep_since(history, keep, now), self.manifest.read()
-        entry = have[name]
-        old = [r for r in entry["versions"] if now - datetime.fromisoformat(r["at"]) > age and r["v"] != entry["current"]]
-        old = old if age == timedelta(0) else old[:-1]
-        entry["versions"] = [r for r in entry["versions"] if r not in old]
-        self.manifest.write(have)
-        for r in old:
-            delete_path(self.spark, self._path(name, r["v"]))
+        age, dropped = keep_since(history, keep, now), []
+
+        def prune(have: dict) -> dict | None:
+            entry = have[name]
+            old = [r for r in entry["versions"] if now - datetime.fromisoformat(r["at"]) > age and r["v"] != entry["current"]]
+            dropped[:] = old if age == timedelta(0) else old[:-1]
+            return have | {name: entry | {"versions": [r for r in entry["versions"] if r not in dropped]}} if dropped else None
+
+        left = self.manifest.change(prune)
+        used = {p["part"] for r in left[name]["versions"] for p in r["parts"]}
+        for part in {p["part"] for r in dropped for p in r["parts"]} - used:
+            delete_path(self.spark, f"{self.db}/{name}/{part}")
         runs[name] = [*history, now.isoformat()][-(max(keep, 0) + 1) :]
         self.run_log.write(runs)
 

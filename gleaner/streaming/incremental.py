@@ -2,12 +2,14 @@
 
 A batch in stream's clothing: the trigger takes what is there and stops, and the
 checkpoint remembers which files were seen. Upserts are by id, so a batch that is
-repeated after a failure changes nothing.
+repeated after a failure changes nothing. Of rows of a batch that share an id the
+one from the file that was written last stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gleaner.operators.schema import CHUNK_SCHEMA
 from gleaner.operators.store import Store
@@ -19,10 +21,13 @@ def take_in(store: Store, name: str, folder: str, checkpoint: str, files_per_bat
     seen: list[int] = []
 
     def add(batch: DataFrame, number: int) -> None:
-        newest = batch.dropDuplicates(["id"])
+        # Times first, then paths and contents, so that the choice never depends on the layout.
+        when = F.struct("_written", "_file", F.to_json(F.struct(*CHUNK_SCHEMA.names)))
+        newest = batch.groupBy("id").agg(F.max_by(F.struct(*CHUNK_SCHEMA.names), when).alias("row")).select("row.*")
         store.upsert(name, newest)
         seen.append(number)
 
     files = store.spark.readStream.schema(CHUNK_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    files = files.select("*", F.col("_metadata.file_modification_time").alias("_written"), F.col("_metadata.file_path").alias("_file"))
     files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return len(seen)

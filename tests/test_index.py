@@ -1,19 +1,25 @@
+import io
 import json
 import os
+import pickle
 import re
+import socket
 import subprocess
 import threading
 from datetime import UTC, datetime, timedelta
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.client import HTTPConnection
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from gleaner import cli
-from gleaner.errors import ConfigError, EmbedderError, StaleSchemaError
+from gleaner.errors import ConfigError, EmbedderError, StaleSchemaError, StoreError
+from gleaner.operators import ranking, schema
 from gleaner.operators.embedding import HashingEmbedder, HttpEmbedder, batch_numbers
 from gleaner.operators.indexer import index_source
-from gleaner.operators.store import FreshnessLog, Store, keep_since
+from gleaner.operators.store import Files, FreshnessLog, JsonFile, Store, keep_since
 from gleaner.sources import config as cfg
 from gleaner.sources import files as fs
 
@@ -91,6 +97,114 @@ def test_store_changes(spark, tmp_path):
     assert store.counts() == {"s": 0, "t": 0} and set(store.run_log.read()) == {"t"}
 
 
+def _row(path, text):
+    return (f"{path}::0", path, "h", 0, 0, 1, "", text, [1.0], None, None, [], "text")
+
+
+def _found(store, word):
+    scores = ranking.bm25_scores(store.terms(), ranking.make_queries(store.spark, [(0, word, [1.0])]))
+    return sorted(r["id"] for r in scores.collect())
+
+
+def test_a_change_writes_what_has_changed(spark, tmp_path):
+    """Parts hide older rows and their postings, merge into one, and go when no version needs them."""
+    store = Store(spark, f"{tmp_path}/db", 1, clock=Clock(), merge_at=4)
+    make = lambda *rows: spark.createDataFrame(list(rows), schema.CHUNK_SCHEMA)
+    store.ensure("s")
+    store.upsert("s", make(_row("a", "otter raft"), _row("b", "otter")))
+    first = store.parts("s")
+    store.commit("s", make(_row("a", "heron")), spark.createDataFrame([("a",), ("new",)], "source_path string"))
+    assert store.parts("s")[:-1] == first and spark.read.parquet(f"{tmp_path}/db/s/{store.parts('s')[-1]['part']}/rows").count() == 1
+    assert _found(store, "otter") == ["b::0"] and _found(store, "heron") == ["a::0"]
+    store.delete_file("s", "b")
+    assert _found(store, "otter") == [] and store.counts() == {"s": 1} and len(store.parts("s")) == 4
+    assert [r["text"] for r in store.by_ids("s", ["a::0", "a::0", "b::0"]).collect()] == ["heron"]
+    assert store.table("s", 2).count() == 2
+    store.upsert("s", make(_row("b", "otter again")))
+    store.optimize("s", keep_runs=0)
+    (only,) = store.parts("s")
+    assert not only["hides"] and sorted(os.listdir(f"{tmp_path}/db/s")) == [only["part"]]
+    assert store.counts() == {"s": 2} and _found(store, "otter") == ["b::0"]
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """The one that comes second builds on the first, and a merge that was overtaken is dropped."""
+    one, two = Store(spark, f"{tmp_path}/db", 1), Store(spark, f"{tmp_path}/db", 1)
+    make = lambda *rows: spark.createDataFrame(list(rows), schema.CHUNK_SCHEMA)
+    one.ensure("s")
+    two.ensure("s")
+    write, busy = Files.write, []
+
+    def late(self, path, content, replace):
+        if "/manifest/" in path and not busy:
+            busy.append(path)
+            two.upsert("s", make(_row("b", "second")))
+        return write(self, path, content, replace)
+
+    monkeypatch.setattr(Files, "write", late)
+    one.upsert("s", make(_row("a", "first")))
+    assert sorted(r["text"] for r in one.table("s").collect()) == ["first", "second"] and len(one.versions("s")) == 3
+    busy.clear()
+    real = Store._write
+
+    def slow(self, *args):
+        part = real(self, *args)
+        if self is one:
+            two.delete_file("s", "a")
+        return part
+
+    monkeypatch.setattr(Files, "write", write)
+    monkeypatch.setattr(Store, "_write", slow)
+    one.merge("s")
+    assert [r["text"] for r in one.table("s").collect()] == ["second"] and len(one.parts("s")) == 4
+
+
+def test_trouble_with_the_manifest_loses_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"{tmp_path}/db", 1, clock=Clock(), merge_at=2)
+    make = lambda *rows: spark.createDataFrame(list(rows), schema.CHUNK_SCHEMA)
+    store.ensure("other")
+    store.ensure("s")
+    for text in "ab":
+        store.upsert("s", make(_row("p", text)))
+    there = sorted(os.listdir(f"{tmp_path}/db/s"))
+
+    def broken(*args, **kwargs):
+        raise StoreError("no answer")
+
+    for name in ("read", "write"):
+        with monkeypatch.context() as patch:
+            patch.setattr(Files, name, broken)
+            for act in (lambda: store.upsert("s", make(_row("p", "c"))), lambda: store.optimize("s", keep_runs=0)):
+                with pytest.raises(StoreError):
+                    act()
+    assert set(there) <= set(os.listdir(f"{tmp_path}/db/s")) and store.names() == ["other", "s"]
+    assert [r["text"] for r in store.table("s").collect()] == ["b"] and store.table("s", 2).count() == 1
+    newest = max(os.listdir(f"{tmp_path}/db/manifest"), key=lambda n: (n[0] != ".", len(n), n))
+    (tmp_path / "db" / "manifest" / newest).write_text("{")
+    for crc in (tmp_path / "db" / "manifest").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(StoreError, match="damaged"):
+        store.upsert("s", make(_row("p", "c")))
+    (tmp_path / "db" / "run_log.json").write_text("{")
+    assert JsonFile(spark, f"{tmp_path}/db/run_log.json").read() == {}
+
+
+def test_only_the_embedders_faults_are_kept(spark, tmp_path):
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "a.md").write_text("# A\nalpha\n")
+
+    class Buggy(HashingEmbedder):
+        def vector(self, text):
+            raise KeyError("a bug")
+
+    store = Store(spark, f"{tmp_path}/db", 4, clock=Clock())
+    assert [(r["status"], r["error"]) for r in index_source(store, _source(tree), Failing(4))] == [("error", "service is down")]
+    assert [r["status"] for r in index_source(store, _source(tree), HashingEmbedder(5))] == ["error"]
+    with pytest.raises(PythonException, match="a bug"):
+        index_source(store, _source(tree), Buggy(4))
+
+
 def test_stale_tables(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/db", 4)
     old = store.spark.createDataFrame([("p::0", "p", "h", 0, 0, 1, "", "x", [1.0])], "id string, source_path string, file_hash string, chunk_index long, char_start long, char_end long, heading_path string, text string, vector array<float>")
@@ -198,6 +312,45 @@ def test_http_embedder(spark):
         batch_numbers(spark.range(1), ["id"], 0)
 
 
+def test_lines_to_the_service(spark):
+    """A client keeps its line, opens another when the service has ended it, and leaves one that was handed in open."""
+    lines = []
+
+    class Kept(_Service):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            lines.append(self)
+            super().setup()
+
+        def _send(self, value):
+            body = json.dumps(value).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Kept)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    with HttpEmbedder(url, "m", 2) as client:
+        client.health_check()
+        client.embed(["a"])
+        assert len(lines) == 1
+        lines[0].connection.shutdown(socket.SHUT_RDWR)
+        client.embed(["a"])
+        assert len(lines) == 2
+        assert pickle.loads(pickle.dumps(client)) == HttpEmbedder(url, "m", 2)
+    assert client._own is None
+    handed = HTTPConnection("127.0.0.1", server.server_port)
+    with HttpEmbedder(url, "m", 2, connection=handed) as client:
+        client.embed(["a"])
+    assert handed.sock is not None
+    handed.close()
+    server.shutdown()
+    server.server_close()
+
+
 def _toml(tmp_path, **changes):
     parts = {"db": f'db_path = "{tmp_path}/db"', "embedding": '[embedding]\nprovider="hashing"\nmodel="m"\nurl="u"\ndim=16',
              "sources": f'[[sources]]\nname="notes"\npath="{tmp_path}/tree"\ntype="markdown"', "store": ""} | changes
@@ -240,7 +393,7 @@ def test_config_defaults(tmp_path, monkeypatch):
         cfg.load(tmp_path / "latin")
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     file = str(_toml(tmp_path))
     (tmp_path / "tree" / "a.md").write_text("---\nstatus: done\n---\n# Otter\notter raft\n")
     run = lambda *args: cli.main(["--config", file, *args], spark)
@@ -254,5 +407,15 @@ def test_command_line(spark, tmp_path, capsys):
     golden = tmp_path / "g.toml"
     golden.write_text('[[queries]]\nquery="otter"\nexpected_paths=["a.md"]\n')
     assert run("eval", "--golden", str(golden)) == 0 and "recall@5 1.000" in capsys.readouterr().out
+    ask = [{"id": 1, "method": "initialize", "params": {}}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "otter", "k": 3}}},
+           {"id": 4, "method": "tools/call", "params": {"name": "search"}}, {"id": 5, "method": "nope"}, {"id": 6, "method": "tools/call", "params": {"name": "list_sources"}}, {"id": 7, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "x", "k": "y"}}}]
+    monkeypatch.setattr("sys.stdin", io.StringIO("".join(json.dumps(m) + "\n" for m in ask) + "\n{\n[]\n"))
+    assert run("serve") == 0
+    answers = {a["id"]: a for a in map(json.loads, capsys.readouterr().out.splitlines()) if a["id"]}
+    assert [t["name"] for t in answers[2]["result"]["tools"]] == ["search", "list_sources", "index_status"]
+    hit = json.loads(answers[3]["result"]["content"][0]["text"])[0]
+    assert len(hit) == 13 and hit["status"] == "done" and hit["note_date"] is None and hit["bm25"] > 0
+    assert answers[4]["error"]["code"] == -32602 and answers[5]["error"]["code"] == -32601 and answers[7]["result"]["isError"]
+    assert json.loads(answers[6]["result"]["content"][0]["text"]) == [{"name": "notes", "chunk_count": 1}]
     assert run("status") == 0 and json.loads(capsys.readouterr().out)["total_chunks"] == 1
     assert cli.main(["--config", str(tmp_path / "absent"), "list"], spark) == 2

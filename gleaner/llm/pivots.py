@@ -59,7 +59,8 @@ def search_pivots(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: i
     query is never its own answer and ties go to the smaller vec_id. Null, empty
     or non-finite vectors, null ids and vectors of another than the most frequent
     length take no part; zero vectors do. Equal vectors are searched once, and a row
-    that repeats an id and its vector counts once. An empty table gives no rows.
+    that repeats an id and its vector counts once. Scores beyond 64 bits stop at the
+    largest or smallest long and are ties there. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship_code(spark)
@@ -106,6 +107,7 @@ def search_pivots(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: i
                     low = np.abs(d - to_pivots[k]).max(axis=1)
                     bound = (own + square[k] - low**2) / 2
                     bound += 1 + 1e-9 * (own + square[k])  # above any rounding
+                    bound = np.maximum(bound, -float(1 << 63))  # where scores stop as well
                     bar = [s for s in (best.last(k), floors[k]) if s is not None]
                     rows = np.flatnonzero(bound >= max(bar)) if bar else np.arange(len(m))
                     rows = rows[np.argsort(-bound[rows], kind="stable")]

@@ -52,30 +52,31 @@ def best_of(found: DataFrame, reps: DataFrame, queries: DataFrame, k: int, ascen
     ``found`` has (qid, rid, score), ``queries`` (query_id, qid). The best k + 1
     ids of a query vector serve all queries that share it; each leaves out itself.
     """
-    sign = 1 if ascending else -1
-    key = F.col("score") if ascending else -F.col("score")
+    key = F.col("score").asc() if ascending else F.col("score").desc()  # never negated: the smallest long has no opposite
     near = Window.partitionBy("qid").orderBy(key, F.col("ids")[0])
     kept = found.join(reps.select("rid", "ids"), "rid").withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k + 1)
     one = kept.select("qid", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("qid").orderBy(key, "vec_id")
     top = one.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
-    item = F.struct((F.col("score") * sign).alias("key"), F.col("vec_id"), F.col("score"))
-    lists = top.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lists = top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("_r", "vec_id", "score"))).alias("items"))
     mine = F.slice(F.filter("items", lambda e: e["vec_id"] != F.col("query_id")), 1, k)
     rows = queries.join(lists.withColumnRenamed("qid", "_q"), F.col("qid") == F.col("_q")).select("query_id", F.posexplode(mine).alias("at", "e"))
     return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
 
 
 class Best:
-    """The k + 1 best (score, first id, rid) of each query that a task has seen so far."""
+    """The k + 1 best (score, first id, rid) of each query that a task has seen so far: the largest longs or the smallest doubles."""
 
     def __init__(self, queries: int, keep: int, largest: bool) -> None:
-        self.keep, self.sign = keep, -1 if largest else 1
+        self.keep, self.largest = keep, largest
         self.rows: list[list[tuple]] = [[] for _ in range(queries)]
 
     def add(self, q: int, scores: np.ndarray, first: np.ndarray, rids: np.ndarray) -> None:
-        order = np.lexsort((first, self.sign * scores))[: self.keep]
-        new = [(self.sign * s, f, r, s) for s, f, r in zip(scores[order].tolist(), first[order].tolist(), rids[order].tolist(), strict=True)]
+        if self.largest:  # longs: the smallest has a complement but no opposite
+            order = np.lexsort((first, ~scores))[: self.keep]
+        else:
+            order = np.lexsort((first, scores))[: self.keep]
+        new = [(-s if self.largest else s, f, r, s) for s, f, r in zip(scores[order].tolist(), first[order].tolist(), rids[order].tolist(), strict=True)]
         self.rows[q] = sorted(self.rows[q] + new)[: self.keep]
 
     def last(self, q: int) -> float | None:

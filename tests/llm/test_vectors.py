@@ -102,3 +102,18 @@ def test_large_products():
     big = float(1 << 40)
     assert pivots.inner_products(np.array([[big, 1.0]]), np.array([big, -1.0])).tolist() == [(1 << 63) - 1]
     assert pivots.inner_products(np.array([[float(1 << 30), 1.0]]), np.array([float(1 << 30), 1.0])).tolist() == [(1 << 60) + 1]
+
+
+def test_scores_beyond_64_bits_stop_there(spark):
+    """One huge component gives both the largest and the smallest long; order and ties stay right."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-1_000, 1_000, (300, 4)).astype(float)
+    x[0, 0], x[100, 0], x[200, 1] = 1e16, -1e16, 1e16
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, v array<double>")
+    got = {}
+    for r in pivots.search_pivots(df, df.where("vec_id % 50 = 0"), k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 300, 50):
+        exact = [min(max(sum(int(a) * int(b) for a, b in zip(x[q], row, strict=True)), -(1 << 63)), (1 << 63) - 1) for row in x]
+        order = sorted((i for i in range(300) if i != q), key=lambda i: (-exact[i], i))[:5]
+        assert sorted(got[q]) == [(k + 1, i, exact[i]) for k, i in enumerate(order)]

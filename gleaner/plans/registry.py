@@ -12,7 +12,7 @@ from gleaner.functions import text as tx
 from gleaner.functions import vectors as vx
 from gleaner.operators import chunking, embedding, evaluation, ranking, schema, status, store
 from gleaner.plans.corpus import RANKINGS, VIEWS, benchmark_queries, corpus, files, notes, spans_sql, table
-from gleaner.runtime import ship_code
+from gleaner.runtime import Scratch, ship_code
 from gleaner.sources import files as fs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,13 +176,14 @@ def index_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of a table that hold all files between them: some are in both, some have gone, some are new."""
     rows = files(spark, sf_dir).select(tx.chunk_id(F.col("source_path"), F.lit(0)).alias("id"), "source_path", "file_hash", "doc_id")
     old = rows.where("doc_id % 3 <> 0").withColumn("file_hash", F.lit("old"))
-    return old.drop("doc_id"), rows.where("doc_id % 2 = 0").drop("doc_id")
+    return old.drop("doc_id"), rows.where("doc_id % 2 = 0 or doc_id % 3 = 0").drop("doc_id")
 
 
 _OLD_NEW = """, old AS (SELECT source_path || '::0' AS id, source_path, 'old' AS file_hash FROM files WHERE doc_id % 3 <> 0),
-fresh AS (SELECT source_path || '::0' AS id, source_path, file_hash FROM files WHERE doc_id % 2 = 0)
+fresh AS (SELECT source_path || '::0' AS id, source_path, file_hash FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
 """
 
 
@@ -197,9 +198,51 @@ def replace_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.replace_files(old, new.select("source_path").distinct(), new)
 
 
-@_query(VIEWS + _OLD_NEW + "SELECT * FROM old WHERE source_path <> 'src1/1.txt'")
+@_query(VIEWS + "SELECT source_path || '::0' AS id, source_path, file_hash FROM files WHERE source_path <> 'src1/1.txt'")
 def delete_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.without_file(_old_and_new(spark, sf_dir)[0], "src1/1.txt")
+    rows = files(spark, sf_dir).select(tx.chunk_id(F.col("source_path"), F.lit(0)).alias("id"), "source_path", "file_hash")
+    return store.without_file(rows, "src1/1.txt")
+
+
+@_query(VIEWS + """SELECT source_path || '::0' AS id, file_hash FROM files WHERE source_path || '::0' IN ('src1/1.txt::0', 'src2/2.txt::0', 'absent')
+  OR file_hash IN (SELECT max(file_hash) FROM files GROUP BY source_name)""")
+def lookup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few ids, one of them twice and one unknown, and those of each source's greatest hash."""
+    rows = files(spark, sf_dir).select(tx.chunk_id(F.col("source_path"), F.lit(0)).alias("id"), "source_name", "file_hash")
+    few = spark.createDataFrame([("src1/1.txt::0",), ("src1/1.txt::0",), ("src2/2.txt::0",), ("absent",)], "id string")
+    most = rows.select("file_hash").join(rows.groupBy("source_name").agg(F.max("file_hash").alias("file_hash")).select("file_hash").distinct(), "file_hash", "left_semi")
+    ids = few.unionByName(rows.join(most.distinct(), "file_hash", "left_semi").select("id"))
+    return store.by_ids(rows, ids).select("id", "file_hash")
+
+
+@_query(VIEWS + """, life AS (SELECT source_path, CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 5 = 0 THEN 2 WHEN doc_id % 7 = 0 THEN 0 ELSE 3 END AS state FROM files)
+SELECT source_path || '::0' AS id, source_path, state FROM life WHERE state > 0""")
+def index_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written, changed by file, by id and by a deletion of files, then merged: what is seen at the end.
+
+    Of all files those that 3 divides are replaced, of the rest those that 5 divides
+    are updated by id, and of what is left then those that 7 divides are taken out.
+    """
+    db = Scratch(spark, "life").base
+    rows = files(spark, sf_dir)
+    blank = F.array().cast("array<string>").alias("tags")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+
+    def chunks(where: str, state: int) -> DataFrame:
+        length = F.length("text").cast("long")
+        zero = lambda name: F.lit(0).cast("long").alias(name)
+        return rows.where(where).select(
+            tx.chunk_id(F.col("source_path"), F.lit(0)).alias("id"), "source_path", "file_hash", zero("chunk_index"), zero("char_start"), length.alias("char_end"), F.lit("").alias("heading_path"),
+            F.substring("text", 1, 200).alias("text"), F.array(F.lit(float(state))).cast("array<float>").alias("vector"), none("date", "note_date"), none("string", "status"), blank, F.lit("text").alias("kind"))
+
+    table_ = store.Store(spark, db, 1, merge_at=4)
+    table_.ensure("t")
+    table_.commit("t", chunks("true", 3), rows.select("source_path"))
+    table_.commit("t", chunks("doc_id % 3 = 0", 1), rows.where("doc_id % 3 = 0").select("source_path"))
+    table_.upsert("t", chunks("doc_id % 3 <> 0 and doc_id % 5 = 0", 2))
+    table_.commit("t", chunks("false", 0), rows.where("doc_id % 3 <> 0 and doc_id % 5 <> 0 and doc_id % 7 = 0").select("source_path"))
+    table_.optimize("t")
+    return table_.table("t").select("id", "source_path", F.get("vector", F.lit(0)).cast("int").alias("state"))
 
 
 @_query(VIEWS + "SELECT source_name, source_path, CAST(floor((row_number() OVER (PARTITION BY source_name ORDER BY source_path) - 1) / 64) AS BIGINT) AS batch FROM files")

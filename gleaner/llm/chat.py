@@ -91,7 +91,8 @@ def op7_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each conversation, read back from its examples."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(odd).alias("text"))
     examples = prefix_targets(rows.unionByName(more))
     turns = F.array_join(F.transform(read_turns(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     read = examples.select(

@@ -3,7 +3,8 @@
 Trees are fitted on a bounded sample and every vector is then put into its leaf
 of each tree. A query walks all trees with one shared priority queue, closest
 split first, until the leaves it has reached hold enough vectors; these
-candidates are ranked by their exact distance.
+candidates are ranked by their exact distance. How many are enough is learned
+from the sample: its own nearest pairs tell how far a walk has to go.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from gleaner.runtime import Scratch, ship_code
 
 #: Parameters of the index. The sample bounds what the driver holds.
 SAMPLE, TREES, LEAF = 20_000, 16, 64
-#: A query stops when its leaves hold so many vectors, counted once for each tree,
-#: as a share of all, and no less than so many. Vectors without structure, as in
-#: the test tables, need this share for a recall of 0.9; clustered ones need less.
-SEARCH_SHARE, SEARCH_LEAST = 1.0, 2_000
+#: A query stops when its leaves hold enough vectors, counted once for each tree:
+#: the share of all that reaches ``AIM`` of the true neighbours of ``TRIED`` vectors
+#: of the sample, and no less than ``SEARCH_LEAST``. Clustered vectors need a small
+#: share, vectors without structure about as many as there are.
+AIM, TRIED, SEARCH_LEAST = 0.97, 128, 500
 
 
 @dataclass
@@ -104,15 +106,44 @@ def probe(forest: list[Tree], sizes: list[np.ndarray], q: np.ndarray, enough: in
     return found
 
 
+def needed_share(forest: list[Tree], x: np.ndarray, k: int, aim: float = AIM, tried: int = TRIED) -> float:
+    """How far a walk must go, as a share of all vectors, to meet ``aim`` of the ``k`` nearest.
+
+    For some vectors of the sample ``x``, spread evenly over it, the true neighbours
+    in the sample are known, and so is what the walk holds when it gets to the first
+    leaf with each of them. Nearest neighbours among all vectors are closer than
+    those in a sample of them, so the share errs on the long side.
+    """
+    n = len(x)
+    if n < 2:
+        return float(len(forest))
+    places = np.stack([tree.leaf_of(x) for tree in forest], axis=1)
+    sizes = [np.bincount(places[:, t], minlength=tree.leaves) for t, tree in enumerate(forest)]
+    needed = []
+    for q in np.unique(np.linspace(0, n - 1, min(tried, n)).astype(np.int64)):
+        distances = ((x - x[q]) ** 2).sum(axis=1)
+        distances[q] = np.inf
+        near = np.argsort(distances, kind="stable")[: min(k, n - 1)]
+        before = [np.full(tree.leaves, np.inf) for tree in forest]
+        held = 0
+        for t, at in probe(forest, sizes, x[q], n * len(forest) + 1):
+            before[t][at] = held
+            held += int(sizes[t][at])
+        first = np.min([before[t][places[near, t]] for t in range(len(forest))], axis=0)
+        needed.extend((first + 1) / n)  # the walk goes on while it holds less than this
+    return float(np.quantile(needed, aim, method="higher"))
+
+
 def search_forest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF,
-    share: float = SEARCH_SHARE, least: int = SEARCH_LEAST, seed: int = 11,
+    share: float | None = None, least: int = SEARCH_LEAST, seed: int = 11,
 ) -> DataFrame:
     """Each query's k nearest among the candidates it reaches: query_id, rank, vec_id, score.
 
     ``vectors`` and ``queries`` are (vec_id, v); a query is never its own answer.
     The score is the Euclidean distance in double precision, ties go to the
-    smaller vec_id. Null, empty, zero or non-finite vectors, null ids and vectors
+    smaller vec_id. A walk ends at ``share`` of all vectors, by default the one that
+    the sample needs, and not before ``least``. Null, empty, zero or non-finite vectors, null ids and vectors
     of another than the most frequent length take no part. Equal vectors are
     searched once, however many there are, and a row that repeats an id and its
     vector counts once. An empty table gives no rows.
@@ -145,7 +176,7 @@ def search_forest(
     sizes = [np.zeros(tree.leaves, dtype=np.int64) for tree in forest]
     for r in placed.select(F.posexplode("leaves").alias("t", "leaf")).groupBy("t", "leaf").count().collect():  # a row per leaf of the forest
         sizes[r["t"]][r["leaf"]] = r["count"]
-    enough = max(least, int(share * total))
+    enough = max(least, int(np.ceil((needed_share(forest, x, k) if share is None else share) * total)))
 
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("_v")).distinct()
     asked = scratch.write(asked.join(reps.select(F.col("rid").alias("qid"), "v"), F.col("_v") == F.col("v")).select("query_id", "qid"))

@@ -52,6 +52,38 @@ def test_forest_stops_early_but_well(spark):
     assert len(got) == 40 and hits >= 0.9 * 400
 
 
+def _recall(x, found, k):
+    hits = 0
+    for q, f in found.items():
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len({v for v, _ in f} & set(np.argsort(d)[:k]))
+    return hits / (k * len(found))
+
+
+def test_forest_learns_where_to_stop(spark):
+    """Structureless vectors need most of all for their recall, clustered ones a small part; both reach 0.9 untold."""
+    rng = np.random.default_rng(9)
+    plain = rng.normal(size=(3_000, 64))
+    grouped = np.repeat(rng.normal(size=(60, 64)) * 4, 50, axis=0) + rng.normal(size=(3_000, 64))
+    shares = []
+    for x in (plain, grouped):
+        trees = [forest.grow_tree(x, 64, s) for s in range(16)]
+        shares.append(forest.needed_share(trees, x, 10))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+        # A sample of a third, so that most queries and rows were not seen by the fit.
+        got = _answers(forest.search_forest(df, df.where("vec_id % 50 = 0"), sample=1_000).collect())
+        assert len(got) == 60 and _recall(x, got, 10) >= 0.9
+    assert shares[1] < 0.35 * shares[0]
+
+
+def test_share_of_small_samples():
+    x = np.random.default_rng(1).normal(size=(300, 4))
+    for rows in (x[:0], x[:1], x[:2], np.ones((50, 4)), x):
+        trees = [forest.grow_tree(rows, 8, s) for s in range(3)]
+        assert 0 < forest.needed_share(trees, rows, 10) <= 3 + 1e-9
+
+
 def test_forest_of_odd_rows(spark, tmp_path):
     folder = save(tmp_path, embeddings=_odd(spark))
     got = _answers(forest.op4_forest_search(spark, folder).collect())

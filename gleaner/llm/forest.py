@@ -106,6 +106,19 @@ def probe(forest: list[Tree], sizes: list[np.ndarray], q: np.ndarray, enough: in
     return found
 
 
+def leaf_costs(tree: Tree, q: np.ndarray) -> np.ndarray:
+    """(query, leaf): the priority at which the queue gets to each leaf, for all queries ``q`` at once."""
+    out = np.full((tree.leaves, len(q)), -np.inf)
+    margins = tree.directions @ q.T - tree.splits[:, None]
+    costs = np.full(margins.shape, -np.inf)
+    for node, margin in enumerate(margins):  # a parent's number is below its children's
+        for side, child in enumerate(tree.children[node]):
+            turned_away = (margin > 0) != (side == 1)
+            cost = np.where(turned_away, np.maximum(costs[node], np.abs(margin)), costs[node])
+            (out if child < 0 else costs)[-1 - child if child < 0 else child] = cost
+    return out.T
+
+
 def needed_share(forest: list[Tree], x: np.ndarray, k: int, aim: float = AIM, tried: int = TRIED) -> float:
     """How far a walk must go, as a share of all vectors, to meet ``aim`` of the ``k`` nearest.
 
@@ -118,19 +131,19 @@ def needed_share(forest: list[Tree], x: np.ndarray, k: int, aim: float = AIM, tr
     if n < 2:
         return float(len(forest))
     places = np.stack([tree.leaf_of(x) for tree in forest], axis=1)
-    sizes = [np.bincount(places[:, t], minlength=tree.leaves) for t, tree in enumerate(forest)]
+    sizes = np.concatenate([np.bincount(places[:, t], minlength=tree.leaves) for t, tree in enumerate(forest)])
+    start = np.cumsum([0] + [tree.leaves for tree in forest[:-1]])
+    asked = np.unique(np.linspace(0, n - 1, min(tried, n)).astype(np.int64))
+    distances = (x**2).sum(axis=1) - 2 * (x[asked] @ x.T)  # but for the query's own norm
+    distances[np.arange(len(asked)), asked] = np.inf
+    near = np.argsort(distances, axis=1, kind="stable")[:, : min(k, n - 1)]
+    costs = np.concatenate([leaf_costs(tree, x[asked]) for tree in forest], axis=1)
     needed = []
-    for q in np.unique(np.linspace(0, n - 1, min(tried, n)).astype(np.int64)):
-        distances = ((x - x[q]) ** 2).sum(axis=1)
-        distances[q] = np.inf
-        near = np.argsort(distances, kind="stable")[: min(k, n - 1)]
-        before = [np.full(tree.leaves, np.inf) for tree in forest]
-        held = 0
-        for t, at in probe(forest, sizes, x[q], n * len(forest) + 1):
-            before[t][at] = held
-            held += int(sizes[t][at])
-        first = np.min([before[t][places[near, t]] for t in range(len(forest))], axis=0)
-        needed.extend((first + 1) / n)  # the walk goes on while it holds less than this
+    for cost, rows in zip(costs, near, strict=True):
+        order = np.argsort(cost, kind="stable")
+        held = np.empty(len(order))
+        held[order] = np.cumsum(sizes[order]) - sizes[order]
+        needed.extend((held[start + places[rows]].min(axis=1) + 1) / n)  # the walk goes on while it holds less than this
     return float(np.quantile(needed, aim, method="higher"))
 
 

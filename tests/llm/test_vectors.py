@@ -77,6 +77,17 @@ def test_forest_learns_where_to_stop(spark):
     assert shares[1] < 0.35 * shares[0]
 
 
+def test_costs_are_the_order_of_the_queue():
+    x = np.random.default_rng(5).normal(size=(400, 6))
+    trees = [forest.grow_tree(x, 16, s) for s in range(4)]
+    sizes = [np.bincount(t.leaf_of(x), minlength=t.leaves) for t in trees]
+    costs = [forest.leaf_costs(t, x[:7]) for t in trees]
+    for q in range(7):
+        walk = [costs[t][q, leaf] for t, leaf in forest.probe(trees, sizes, x[q], 10**9)]
+        assert len(walk) == sum(t.leaves for t in trees) and walk == sorted(walk)
+        assert walk[:4] == [-np.inf] * 4 and walk[4] > 0
+
+
 def test_share_of_small_samples():
     x = np.random.default_rng(1).normal(size=(300, 4))
     for rows in (x[:0], x[:1], x[:2], np.ones((50, 4)), x):

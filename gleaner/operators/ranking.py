@@ -34,6 +34,8 @@ LISTED_TERMS = 256
 LENGTH = ""
 #: Ranks compare scores to this many places, so that the order of a sum can't change them.
 PLACES = 9
+#: Candidates up to which they are broadcast to the corpus (about 100 bytes each, but for long ids).
+BROADCAST_POOL = 50_000
 
 
 def pool_size(k: int) -> int:
@@ -59,7 +61,10 @@ def _checked(k: int) -> int:
 
 
 def make_queries(spark: SparkSession, rows: list[tuple[int, str, list[float]]]) -> DataFrame:
-    return spark.createDataFrame(rows, "query_id long, query_text string, query_vector array<double>")
+    """A small local table: reading it takes no job, and its size is known to the planner."""
+    kinds = {"query_id": pa.int64(), "query_text": pa.string(), "query_vector": pa.list_(pa.float64())}
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=list(kinds)))
 
 
 def only_sources(corpus: DataFrame, names: list[str] | None) -> DataFrame:
@@ -220,12 +225,17 @@ def search_hybrid(corpus: DataFrame, queries: DataFrame, k: int, index: TermInde
     """
     cut = pool_size(_checked(k))
     pool = fuse(vector_candidates(corpus, queries, cut), lexical_candidates(corpus, queries, cut, index))
+    pool = Scratch(corpus.sparkSession, "pool").write(pool)
     known = pool.where(F.col("cosine").isNotNull())
     # What only its words have found gets its cosine by two joins on ids; all else has it from the matrix product.
-    missing = pool.where(F.col("cosine").isNull()).drop("cosine").join(corpus.select("source_name", "id", "vector"), ["source_name", "id"])
-    missing = missing.join(queries.select("query_id", "query_vector"), "query_id").withColumn("cosine", vx.cosine(F.col("vector"), F.col("query_vector")))
-    scored = known.unionByName(missing.select(*known.columns))
-    scored = scored.withColumn("score", F.col("cosine") + vx.lexical_boost(F.col("bm25")))
+    missing = pool.where(F.col("cosine").isNull()).drop("cosine")
+    n = missing.count()
+    if n:
+        found = F.broadcast(missing) if n <= BROADCAST_POOL else missing
+        missing = corpus.select("source_name", "id", "vector").join(found, ["source_name", "id"])
+        missing = missing.join(queries.select("query_id", "query_vector"), "query_id").withColumn("cosine", vx.cosine(F.col("vector"), F.col("query_vector")))
+        known = known.unionByName(missing.select(*known.columns))
+    scored = known.withColumn("score", F.col("cosine") + vx.lexical_boost(F.col("bm25")))
     order = [F.round("score", PLACES).desc(), F.round("rrf", PLACES).desc(), F.col("source_name"), F.col("vector_rank").asc_nulls_last(), F.col("lexical_rank"), F.col("id")]
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     top = scored.withColumn("rank", place).where(F.col("rank") <= k)
@@ -270,7 +280,8 @@ def search(corpus: DataFrame, query: str, embedder, sources: list[str] | None =
         queries = make_queries(spark, [(0, query, [float(x) for x in embedder.embed([query])[0]])])
     if index is not None and sources is not None:
         index = TermIndex(only_sources(index.lengths, sources), only_sources(index.postings, sources))
-    hits = search_hybrid(corpus, queries, k, index).join(corpus.drop("vector"), ["source_name", "id"])
+    hits = F.broadcast(search_hybrid(corpus, queries, k, index))  # MAX_K rows at most
+    hits = corpus.drop("vector").join(hits, ["source_name", "id"])
     if radius:
         own = hits.select("source_name", "source_path", "chunk_index")
         wide = expand_context(own.distinct(), corpus, radius)

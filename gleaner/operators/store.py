@@ -17,6 +17,7 @@ import logging
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -228,18 +229,25 @@ class Store:
             self.manifest.change(lambda have: None if name in have else self._with(have, name, [empty]))
 
     def _seen(self, name: str, parts: list[dict], read: Callable[[dict], DataFrame]) -> DataFrame:
-        """Rows of all parts, but for those whose path or id a later part hides."""
-        rows, gone = None, None
-        for i, part in enumerate(parts):
-            here = read(part).withColumn("_at", F.lit(i))
-            rows = here if rows is None else rows.unionByName(here, allowMissingColumns=True)
-            if part["hides"] and i:
-                hidden = self.spark.read.schema(_GONE).parquet(f"{self._path(name, part)}/gone").withColumn("_from", F.lit(i))
-                gone = hidden if gone is None else gone.unionByName(hidden)
-        for key in ("source_path", "id") if gone is not None else ():
-            last = gone.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("_from").alias("_from"))
-            rows = rows.join(last, (F.col(key) == F.col("_key")) & (F.col("_at") < F.col("_from")), "left_anti")
-        return rows.drop("_at")
+        """Rows of all parts, but for those whose path or id a later part hides.
+
+        Parts without rows are left out, and rows that no later part can hide are not joined.
+        """
+        hiding = [i for i, part in enumerate(parts) if part["hides"] and any(p.get("rows", 1) for p in parts[:i])]
+        rows = {i: read(part) for i, part in enumerate(parts) if part.get("rows", 1)}
+        if not rows:
+            return read(parts[0])
+        union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+        safe = [df for i, df in rows.items() if not hiding or i >= hiding[-1]]
+        open_ = [df.withColumn("_at", F.lit(i)) for i, df in rows.items() if hiding and i < hiding[-1]]
+        if open_:
+            left = reduce(union, open_)
+            gone = reduce(union, (self.spark.read.schema(_GONE).parquet(f"{self._path(name, parts[i])}/gone").withColumn("_from", F.lit(i)) for i in hiding))
+            for key in ("source_path", "id"):
+                last = gone.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("_from").alias("_from"))
+                left = left.join(last, (F.col(key) == F.col("_key")) & (F.col("_at") < F.col("_from")), "left_anti")
+            safe = [left.drop("_at"), *safe]
+        return reduce(union, safe)
 
     def raw(self, name: str, version: int | None = None) -> DataFrame:
         """A version in the columns that its parts were written with."""
@@ -266,14 +274,14 @@ class Store:
 
     def corpus(self, names: list[str] | None = None) -> DataFrame:
         """All named tables with their source_name; names without a table are ignored."""
-        out = self.spark.createDataFrame([], schema.CHUNK_SCHEMA).withColumn("source_name", F.lit(""))
+        out = self.spark.createDataFrame([], schema.CHUNK_SCHEMA).where(F.lit(False)).withColumn("source_name", F.lit(""))  # the planner drops it
         for name in self._chosen(names):
             out = out.unionByName(self.table(name).withColumn("source_name", F.lit(name)), allowMissingColumns=True)
         return out
 
     def terms(self, names: list[str] | None = None) -> TermIndex:
         """The postings of ``corpus(names)``, as written with its rows; a query's words reach their scan."""
-        out = self.spark.createDataFrame([], _TERMS).withColumn("source_name", F.lit(""))
+        out = self.spark.createDataFrame([], _TERMS).where(F.lit(False)).withColumn("source_name", F.lit(""))
         for name in self._chosen(names):
             read = lambda part, n=name: self.spark.read.schema(_TERMS).parquet(f"{self._path(n, part)}/terms")
             out = out.unionByName(self._seen(name, self.parts(name), read).withColumn("source_name", F.lit(name)))
@@ -317,6 +325,7 @@ class Store:
         path = self._path(name, part)
         rows.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/rows")
         written = self.spark.read.schema(rows.schema).parquet(f"{path}/rows")
+        part["rows"] = written.count()
         terms = count_terms(written, ["source_path", "id"]).select("source_path", "id", "dl", "term", "tf")
         terms.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         if gone is not None:

@@ -2,9 +2,11 @@
 
 Distances from every vector to many pivots are computed once. By the triangle
 inequality the largest difference of two vectors' distances to a pivot bounds
-their own distance from below, and so their inner product from above. Each task
-takes candidates in the order of that bound and stops where it falls below the
-worst score that still counts.
+their own distance from below, and so their inner product from above. Rows lie
+sorted by their nearest pivot, so that a run of them has narrow ranges of distances
+and is ruled out as a whole where even the ranges bound it. Each task takes the
+candidates of the other runs in the order of their own bounds and stops where these
+fall below the worst score that still counts.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from gleaner.runtime import Scratch, ship_code
 PIVOTS, SAMPLE = 32, 4_096
 #: Candidates that are evaluated together before the bound is looked at again.
 STEP = 256
+#: Rows of a run that is ruled out as a whole.
+RUN = 256
 _EXACT = float(1 << 53)
 
 
@@ -52,6 +56,20 @@ def distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((m - p) ** 2).sum(axis=1)) for p in pivots], axis=1) if len(pivots) else np.zeros((len(m), 0))
 
 
+def upper_bounds(own: np.ndarray, square: float, apart: np.ndarray) -> np.ndarray:
+    """Bounds of inner products from squared lengths and a lower bound of the distance, above any rounding."""
+    bound = (own + square - apart**2) / 2
+    bound += 1 + 1e-9 * (own + square)
+    return np.maximum(bound, -float(1 << 63))  # where scores stop as well
+
+
+def rows_in_reach(low: np.ndarray, high: np.ndarray, longest: np.ndarray, to_pivots: np.ndarray, square: float, bar: int, rows: int) -> np.ndarray:
+    """Numbers of the rows whose run, by its ranges of distances, may hold a score of ``bar``."""
+    apart = np.maximum(low - to_pivots, to_pivots - high).max(axis=1, initial=0.0)
+    reach = upper_bounds(longest, square, apart) >= bar
+    return np.flatnonzero(np.repeat(reach, RUN)[:rows])
+
+
 def search_pivots(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
     """Each query's k highest inner products: query_id, rank, vec_id, score. Exact.
 
@@ -81,10 +99,12 @@ def search_pivots(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: i
         for batch in batches:
             d = distances(matrix(batch.column("v"), width), points)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * n), pa.array(d.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("first"), batch.column("v"), lists], names=["rid", "first", "v", "d"])
+            near = [pa.array(d.argmin(axis=1) if d.size else np.zeros(len(d), dtype=np.int64)), pa.array(d.min(axis=1, initial=np.inf))]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("first"), batch.column("v"), lists, *near], names=["rid", "first", "v", "d", "near", "away"])
 
     plain = reps.select("rid", F.col("ids")[0].alias("first"), "v")
-    measured = scratch.write(plain.mapInArrow(measure, "rid long, first long, v array<double>, d array<double>"))
+    measured = plain.mapInArrow(measure, "rid long, first long, v array<double>, d array<double>, near long, away double")
+    measured = scratch.write(measured.sortWithinPartitions("near", "away").drop("near", "away"))
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("_v")).distinct()
     asked = scratch.write(asked.join(reps.select(F.col("rid").alias("qid"), "v"), F.col("_v") == F.col("v")).select("query_id", "qid"))
     distinct = reps.join(asked.select(F.col("qid").alias("_q")).distinct(), F.col("rid") == F.col("_q"), "left_semi").select("rid", "v")
@@ -103,13 +123,18 @@ def search_pivots(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: i
                 m, d = matrix(batch.column("v"), width), matrix(batch.column("d"), n)
                 rids, first = batch.column("rid").to_numpy(), batch.column("first").to_numpy()
                 own = (m**2).sum(axis=1)
+                runs = np.arange(0, len(m), RUN)
+                low, high, longest = np.minimum.reduceat(d, runs, axis=0), np.maximum.reduceat(d, runs, axis=0), np.maximum.reduceat(own, runs)
                 for k in range(len(q)):
-                    low = np.abs(d - to_pivots[k]).max(axis=1)
-                    bound = (own + square[k] - low**2) / 2
-                    bound += 1 + 1e-9 * (own + square[k])  # above any rounding
-                    bound = np.maximum(bound, -float(1 << 63))  # where scores stop as well
                     bar = [s for s in (best.last(k), floors[k]) if s is not None]
-                    rows = np.flatnonzero(bound >= max(bar)) if bar else np.arange(len(m))
+                    rows = rows_in_reach(low, high, longest, to_pivots[k], square[k], max(bar), len(m)) if bar else np.arange(len(m))
+                    if not len(rows):
+                        continue
+                    mine = slice(None) if len(rows) == len(m) else rows  # no copy where all runs stay
+                    bound = np.full(len(m), -np.inf)
+                    bound[rows] = upper_bounds(own[mine], square[k], np.abs(d[mine] - to_pivots[k]).max(axis=1, initial=0.0))
+                    if bar:
+                        rows = rows[bound[rows] >= max(bar)]
                     rows = rows[np.argsort(-bound[rows], kind="stable")]
                     for at in range(0, len(rows), STEP):
                         some = rows[at : at + STEP]

@@ -141,6 +141,25 @@ def test_pivots_prune_and_stay_exact(spark):
         assert found == [(int(i), int(s[i])) for i in np.lexsort((np.arange(len(x)), -s))[:5]]
 
 
+def test_runs_are_ruled_out_only_without_answers():
+    """No run that holds a score of the bar is ruled out; how many are differs by query, as short ones have low bars."""
+    rng = np.random.default_rng(8)
+    x = np.floor(np.repeat(rng.normal(size=(50, 16)) * 3_000, 80, axis=0) + rng.normal(size=(4_000, 16)) * 100)
+    points = pivots.pick_pivots(x[:500], 32)
+    d = pivots.distances(x, points)
+    x, d = (a[np.lexsort((d.min(axis=1), d.argmin(axis=1)))] for a in (x, d))
+    own, runs = (x**2).sum(axis=1), np.arange(0, len(x), pivots.RUN)
+    low, high, longest = np.minimum.reduceat(d, runs, axis=0), np.maximum.reduceat(d, runs, axis=0), np.maximum.reduceat(own, runs)
+    share = []
+    for q in x[::100]:
+        scores = x @ q
+        bar = int(np.sort(scores)[-11])
+        rows = pivots.rows_in_reach(low, high, longest, pivots.distances(q[None], points)[0], float(q @ q), bar, len(x))
+        assert set(np.flatnonzero(scores >= bar)) <= set(rows)
+        share.append(len(rows) / len(x))
+    assert min(share) < 0.3 and np.mean(share) < 0.8
+
+
 def test_large_products():
     big = float(1 << 40)
     assert pivots.inner_products(np.array([[big, 1.0]]), np.array([big, -1.0])).tolist() == [(1 << 63) - 1]

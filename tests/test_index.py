@@ -127,6 +127,25 @@ def test_a_change_writes_what_has_changed(spark, tmp_path):
     assert store.counts() == {"s": 2} and _found(store, "otter") == ["b::0"]
 
 
+def test_only_rows_that_can_be_hidden_are_joined(spark, tmp_path):
+    """Empty parts are no part of a plan, and rows of the last part that hides pass by the join."""
+    store = Store(spark, f"{tmp_path}/db", 1, clock=Clock())
+    make = lambda *rows: spark.createDataFrame(list(rows), schema.CHUNK_SCHEMA)
+    plan = lambda: store.corpus()._jdf.queryExecution().optimizedPlan().toString()
+    store.ensure("s")
+    assert store.corpus().collect() == []
+    store.upsert("s", make(_row("a", "otter"), _row("b", "otter")))
+    assert "Join" not in plan() and "Union" not in plan()
+    store.commit("s", make(), spark.createDataFrame([("a",)], "source_path string"))
+    store.upsert("s", make(_row("b", "heron"), _row("c", "heron")))
+    assert "LeftAnti" in plan()
+    assert sorted((r["id"], r["text"]) for r in store.table("s").collect()) == [("b::0", "heron"), ("c::0", "heron")]
+    assert _found(store, "otter") == [] and _found(store, "heron") == ["b::0", "c::0"]
+    store.delete_file("s", "b")
+    store.delete_file("s", "c")
+    assert store.table("s").collect() == [] and store.counts() == {"s": 0}
+
+
 def test_two_writers(spark, tmp_path, monkeypatch):
     """The one that comes second builds on the first, and a merge that was overtaken is dropped."""
     one, two = Store(spark, f"{tmp_path}/db", 1), Store(spark, f"{tmp_path}/db", 1)

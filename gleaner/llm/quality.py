@@ -20,17 +20,28 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers about one text, none of them null. A null text counts as empty."""
+#: Anything that no statistic counts one by one: what is left of a text without it is short.
+UNCOUNTED = r"[^\p{Lu}0-9#$%&*^~@=+<>{}\[\]\\/_!?|.,;:]+"
+
+
+def pieces(text: Column) -> dict[str, Column]:
+    """What a text's statistics are read from, in one pass each. A null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    chars = F.length(text)
-    without = lambda s: chars - F.length(F.translate(text, s, ""))
-    tokens = F.split(text, r"[\x20\x09-\x0D]+")
     return {
-        "chars": chars, "words": F.size(tokens), "unique_words": F.size(F.array_distinct(tokens)),
-        "lines": F.size(F.split(text, "\n")), "unique_lines": F.size(F.array_distinct(F.split(text, "\n"))),
-        "upper": F.regexp_count(text, F.lit(r"\p{Lu}")), "symbols": without("#$%&*^~@=+<>{}[]\\/_"), "bangs": without("!?"),
-        "bars": without("|"), "digits": without("0123456789"), "stops": without("."), "commas": without(",;:"),
+        "chars": F.length(text), "tokens": F.split(text, r"[\x20\x09-\x0D]+"), "lines": F.split(text, "\n"),
+        "marks": F.regexp_replace(text, F.lit(UNCOUNTED), F.lit("")),
+    }
+
+
+def statistics(parts: dict[str, Column]) -> dict[str, Column]:
+    """Numbers about one text, none of them null, from its pieces."""
+    tokens, lines, marks = parts["tokens"], parts["lines"], parts["marks"]
+    count = lambda s: F.length(marks) - F.length(F.translate(marks, s, ""))
+    return {
+        "chars": parts["chars"], "words": F.size(tokens), "unique_words": F.size(F.array_distinct(tokens)),
+        "lines": F.size(lines), "unique_lines": F.size(F.array_distinct(lines)),
+        "upper": F.regexp_count(marks, F.lit(r"\p{Lu}")), "symbols": count("#$%&*^~@=+<>{}[]\\/_"), "bangs": count("!?"),
+        "bars": count("|"), "digits": count("0123456789"), "stops": count("."), "commas": count(",;:"),
     }
 
 
@@ -47,17 +58,24 @@ def features(counts: dict[str, Column]) -> dict[str, Column]:
     }
 
 
+def _step(df: DataFrame, kept: list[str], prefix: str, made: dict[str, Column]) -> DataFrame:
+    """Columns ``kept`` and the made ones, each of them computed once a row whatever reads it later."""
+    new = F.inline(F.array(F.struct(*[c.alias(prefix + n) for n, c in made.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in kept], new)
+
+
 def with_features(docs: DataFrame, prefix: str = "_f_") -> tuple[DataFrame, list[str]]:
-    """Add the features in two steps, so that each statistic is computed once a row.
+    """Add the features in three steps, so that pieces and statistics are computed once a row.
 
     The steps are generated rows of one element, through which the optimizer can't
     push a later filter; else it would copy the statistics into each condition.
     """
-    counts = statistics(F.col("text"))
-    wide = docs.select("*", F.inline(F.array(F.struct(*[c.alias(f"_s_{n}") for n, c in counts.items()]))))
+    split = pieces(F.col("text"))
+    counts = statistics({n: F.col(f"_p_{n}") for n in split})
     made = features({n: F.col(f"_s_{n}") for n in counts})
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return wide.select(*own, F.inline(F.array(F.struct(*[c.alias(prefix + n) for n, c in made.items()])))), list(made)
+    wide = _step(docs, docs.columns, "_p_", split)
+    wide = _step(wide, docs.columns, "_s_", counts)
+    return _step(wide, docs.columns, prefix, made), list(made)
 
 
 Rule = tuple[tuple[int, float, bool], ...]  # (feature, threshold, above)

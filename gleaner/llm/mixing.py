@@ -18,8 +18,6 @@ from gleaner.runtime import Scratch, with_rank
 BROADCAST_SOURCES = 20_000
 #: Picks up to which their table is broadcast (about 100 bytes each).
 BROADCAST_PICKS = 100_000
-#: Picks a source that the SQL unrolls; the operator itself goes on until none fits.
-FILL_ROUNDS = 6
 _BUCKET_DIGITS = 3  # 16**3 buckets of the seeded order per source
 
 
@@ -28,11 +26,11 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def cycled_weights(sources: DataFrame, cycle: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """Weights by place in code point order. One row per source comes in."""
-    place = F.row_number().over(Window.orderBy("source_key")) - 1
-    which = F.element_at(F.array(*[F.lit(w) for w in cycle]), (place % len(cycle) + 1).cast("int"))
-    return sources.withColumn("weight", which.cast("long"))
+def cycled_weights(scratch: Scratch, sources: DataFrame, cycle: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """Weights by place in code point order. One row per source comes in; no task orders all of them."""
+    placed = with_rank(scratch, sources, [], ["source_key"], "place")
+    which = F.element_at(F.array(*[F.lit(w) for w in cycle]), (F.col("place") % len(cycle) + 1).cast("int"))
+    return placed.withColumn("weight", which.cast("long")).drop("place")
 
 
 def fill_targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -134,7 +132,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, cycle: tuple[int, .
     scratch = Scratch(spark, "mix")
     base = scratch.write(docs.select("doc_id", "source", *_narrow_columns(seed)))
     sources = base.groupBy("source_key").agg(F.sum("size").alias("source_size"))
-    sources = scratch.write(cycled_weights(sources, cycle))
+    sources = scratch.write(cycled_weights(scratch, sources, cycle))
     n_sources = sources.count()
     plan = fill_targets(sources, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -182,8 +180,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.apply(decided.base).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-_HEAD = r"""
-WITH base AS (
+OP2_SQL = r"""
+WITH RECURSIVE base AS (
   SELECT doc_id, source, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS u, md5(coalesce(text, '')) AS h,
     CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source_key,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
@@ -211,30 +209,18 @@ run AS (
 firsts AS (SELECT *, min(CASE WHEN upto > goal THEN u || h END) OVER (PARTITION BY source_key) AS stop FROM run),
 marked AS (SELECT *, stop IS NULL OR u || h < stop AS below FROM firsts),
 gaps AS (SELECT source_key, any_value(goal) - coalesce(max(CASE WHEN below THEN upto END), 0) AS missing FROM marked GROUP BY 1),
-"""
-_ROUND = r"""f{k} AS (
-  SELECT g.source_key, g.missing, p.u, p.h, p.w FROM f{j} g LEFT JOIN (
-    SELECT m.source_key, m.u, m.h, m.w FROM marked m JOIN f{j} ON f{j}.source_key = m.source_key
-    WHERE NOT m.below AND m.w > 0 AND m.w <= f{j}.left_over{skip}
-    QUALIFY row_number() OVER (PARTITION BY m.source_key ORDER BY m.w DESC, m.u, m.h) = 1) p USING (source_key)),
-"""
-
-
-def _sql() -> str:
-    """The closing rounds repeat one step, so their CTEs are made in a loop."""
-    steps = ["f0 AS (SELECT source_key, missing AS left_over FROM gaps),\n"]
-    for k in range(1, FILL_ROUNDS + 1):
-        skip = "".join(f" AND NOT EXISTS (FROM f{i} WHERE f{i}.source_key = m.source_key AND f{i}.u = m.u AND f{i}.h = m.h)" for i in range(1, k))
-        steps.append(_ROUND.format(k=k, j=k - 1, skip=skip).replace("g.missing,", "g.left_over - coalesce(p.w, 0) AS left_over,"))
-    picked = " UNION ALL ".join(f"SELECT source_key, u, h FROM f{k} WHERE u IS NOT NULL" for k in range(1, FILL_ROUNDS + 1))
-    return _HEAD + "".join(steps) + f"best AS ({picked}),\n" + _TAIL
-
-
-_TAIL = r"""extra AS (
+sizes AS (SELECT source_key, w, count(*) AS n FROM marked WHERE NOT below AND w > 0 GROUP BY 1, 2),
+takes AS (
+  SELECT source_key, CAST(floor(missing) AS BIGINT) AS gap, CAST(NULL AS BIGINT) AS w, CAST(0 AS BIGINT) AS k FROM gaps
+  UNION ALL
+  SELECT t.source_key, t.gap - s.w * least(s.n, t.gap // s.w), s.w, least(s.n, t.gap // s.w)
+  FROM takes t JOIN sizes s ON s.source_key = t.source_key AND s.w <= t.gap AND (t.w IS NULL OR s.w < t.w)
+  QUALIFY row_number() OVER (PARTITION BY t.source_key ORDER BY s.w DESC) = 1),
+places AS (SELECT source_key, u, h, w, row_number() OVER (PARTITION BY source_key, w ORDER BY u, h) AS place FROM marked WHERE NOT below),
+best AS (SELECT p.source_key, p.u, p.h FROM places p JOIN takes t ON t.source_key = p.source_key AND t.w = p.w WHERE p.place <= t.k),
+extra AS (
   SELECT m.source_key, m.u, m.h, (m.below OR best.u IS NOT NULL) AND m.goal > 0 AS more
   FROM marked m LEFT JOIN best ON m.source_key = best.source_key AND m.u = best.u AND m.h = best.h)
 SELECT b.doc_id, b.source, b.size, g.source_size, g.target, CAST(b.size * (g.whole + CASE WHEN e.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM base b JOIN goals g USING (source_key) JOIN extra e ON b.source_key = e.source_key AND b.u = e.u AND b.h = e.h
 """
-
-OP2_SQL = _sql()

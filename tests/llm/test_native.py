@@ -47,13 +47,15 @@ def test_mixed_documents_are_taken_as_decided(spark):
     assert got == taken
 
 
-def test_mixing_goes_on_after_a_very_long_document(spark):
+def test_mixing_goes_on_after_a_very_long_document(spark, tmp_path):
     """The document that crosses the goal is half of its source, so hundreds of others have to fill the gap."""
     order = sorted(range(1_000), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randrange(5, 16)), "a") for i in order[1:300]] + [(order[0], "w " * 3_000, "a")]
     rows += [(i, " ".join(["w"] * rng.randrange(1, 40)), "b") for i in order[300:600]] + rows[:3]
-    decided = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    same_as_sql(mixing.op2_mix_sources(spark, save(tmp_path, documents=docs)), mixing.OP2_SQL, str(tmp_path), "documents")
+    decided = mixing.mix(docs)
     got = {(r["source"], r["doc_id"]): r for r in decided.apply(decided.base).collect()}
     for source in "ab":
         units = Counter()

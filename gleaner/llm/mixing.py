@@ -18,7 +18,9 @@ from gleaner.runtime import Scratch, with_rank
 BROADCAST_SOURCES = 20_000
 #: Picks up to which their table is broadcast (about 100 bytes each).
 BROADCAST_PICKS = 100_000
-_BUCKET_DIGITS = 3  # 16**3 buckets of the seeded order per source
+#: Hexadecimal digits of the seeded order by which the crossing document is sought, level by level. No window has more
+#: than 16**3 rows a source before the last, whose rows share all these digits: a 16.8 millionth of their source.
+LEVELS = (3, 6)
 
 
 def source_key(source: Column) -> Column:
@@ -79,7 +81,7 @@ class Mix:
         same = (F.col("source_key") == F.col("_ps")) & (F.col("u") == F.col("_pu")) & (F.col("h") == F.col("_ph"))
         joined = joined.join(broadcast_if(picks, self.n_picks, BROADCAST_PICKS), same, "left")
         mine = F.struct("u", "h")
-        below = F.substring("u", 1, _BUCKET_DIGITS) < F.col("cross_bucket")
+        below = F.col("u") < F.col("cross_bucket")
         extra = F.coalesce(below, F.lit(True)) | F.coalesce(mine <= F.col("cut"), F.lit(False)) | F.col("_ps").isNotNull()
         copies = F.col("whole") + F.when(extra & (F.col("goal") > 0), 1).otherwise(0)
         out = joined.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("long"))
@@ -115,6 +117,18 @@ def fill_gaps(scratch: Scratch, left: DataFrame) -> DataFrame:
     return chosen.where("k = n").select("source_key", "u", "h").unionByName(some.select("source_key", "u", "h"))
 
 
+def _crossing(units: DataFrame, digits: int) -> DataFrame:
+    """(source_key, cross_bucket, base, goal) of sources whose sums exceed the goal.
+
+    ``units`` has (source_key, u, w, base, goal); base is what lies before all of them. The
+    bucket is the first, by leading digits of u, whose sum does so, and its base lies before it.
+    """
+    buckets = units.groupBy("source_key", F.substring("u", 1, digits).alias("bucket")).agg(F.sum("w").alias("w"), F.first("base").alias("base"), F.first("goal").alias("goal"))
+    upto = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = buckets.withColumn("upto", F.col("base") + F.sum("w").over(upto)).where(F.col("upto") > F.col("goal"))
+    return buckets.groupBy("source_key").agg(F.min("bucket").alias("cross_bucket"), F.min_by(F.col("upto") - F.col("w"), "bucket").alias("base"), F.first("goal").alias("goal"))
+
+
 def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, cycle: tuple[int, ...] = (5, 2, 1)) -> Mix:
     """Decide how often each document of (doc_id, text, source) is taken.
 
@@ -140,15 +154,12 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, cycle: tuple[int, .
     plan = plan.withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
 
     units = base.groupBy("source_key", "u", "h").agg(F.sum("size").alias("w"))
-    units = units.withColumn("bucket", F.substring("u", 1, _BUCKET_DIGITS))
     small = lambda df: broadcast_if(df, n_sources, BROADCAST_SOURCES)
-    by_bucket = units.groupBy("source_key", "bucket").agg(F.sum("w").alias("w")).join(small(plan.select("source_key", "goal")), "source_key")
-    upto = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    by_bucket = by_bucket.withColumn("upto", F.sum("w").over(upto))
-    crossing = by_bucket.where(F.col("upto") > F.col("goal")).groupBy("source_key").agg(
-        F.min("bucket").alias("cross_bucket"), F.min_by(F.col("upto") - F.col("w"), "bucket").alias("base"), F.first("goal").alias("goal")
-    )
-    inside = units.join(small(crossing), "source_key").where(F.col("bucket") == F.col("cross_bucket"))
+    inside = units.join(small(plan.select("source_key", "goal", F.lit(0).cast("long").alias("base"))), "source_key")
+    for digits in LEVELS:
+        crossing = _crossing(inside, digits)
+        within = F.substring("u", 1, digits) == F.col("cross_bucket")
+        inside = scratch.write(inside.drop("base", "goal").join(small(crossing), "source_key").where(within).drop("cross_bucket"))
     run = Window.partitionBy("source_key").orderBy("u", "h").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.col("base") + F.sum("w").over(run)).where(F.col("upto") <= F.col("goal"))
     cuts = inside.groupBy("source_key").agg(F.max(F.struct("u", "h")).alias("cut"), F.max("upto").alias("got"))
@@ -157,7 +168,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 7, cycle: tuple[int, .
 
     gaps = plan.select("source_key", "cross_bucket", "cut", "missing")
     left = units.join(small(gaps.where(F.col("missing") > 0)), "source_key")
-    left = left.where((F.col("bucket") >= F.col("cross_bucket")) & ~F.coalesce(F.struct("u", "h") <= F.col("cut"), F.lit(False)))
+    left = left.where((F.col("u") >= F.col("cross_bucket")) & ~F.coalesce(F.struct("u", "h") <= F.col("cut"), F.lit(False)))
     left = scratch.write(left.where((F.col("w") > 0) & (F.col("w") <= F.col("missing"))).select("source_key", "u", "h", "w", "missing"))
     picks = scratch.write(fill_gaps(scratch, left))
     decided = plan.select("source_key", "source_size", "weight", "target", "whole", "goal", "cross_bucket", "cut")

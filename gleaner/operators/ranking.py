@@ -34,6 +34,8 @@ LISTED_TERMS = 256
 LENGTH = ""
 #: Ranks compare scores to this many places, so that the order of a sum can't change them.
 PLACES = 9
+#: Queries up to which, and candidates up to which, a search keeps its candidates on the driver and not as a table.
+FEW_QUERIES, FEW_CANDIDATES = 4, 2_000
 #: Candidates up to which they are broadcast to the corpus (about 100 bytes each, but for long ids).
 BROADCAST_POOL = 50_000
 
@@ -192,8 +194,13 @@ def bm25_scores(index: TermIndex, queries: DataFrame) -> DataFrame:
     Statistics are per source and over the whole corpus. The words of a few queries
     are a filter that reaches the scan of the postings; those of many are joined.
     """
-    terms = query_terms(queries)
-    listed = [r["term"] for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+    terms, few = query_terms(queries), queries.select("query_id", F.array_distinct(tx.tokens(F.col("query_text"))).alias("t")).limit(FEW_QUERIES + 1).collect()
+    if len(few) <= FEW_QUERIES:  # one small table of their words, which no job has to make
+        pairs = [(r["query_id"], t) for r in few for t in r["t"] or []]
+        terms = queries.sparkSession.createDataFrame(pairs, terms.schema)
+        listed = list(dict.fromkeys(t for _, t in pairs))[: LISTED_TERMS + 1]
+    else:
+        listed = [r["term"] for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
     tf = index.postings
     tf = tf.where(F.col("term").isin(*listed)) if len(listed) <= LISTED_TERMS else tf.join(terms.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("source_name", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -217,6 +224,17 @@ def fuse(vector: DataFrame, lexical: DataFrame) -> DataFrame:
     return both.withColumn("rrf", part("vector_rank") + part("lexical_rank"))
 
 
+def _kept(pool: DataFrame, queries: DataFrame) -> tuple[DataFrame, int]:
+    """The candidates, computed once, and how many have no cosine: a local table if they are those of a few queries, else a stored one."""
+    spark = pool.sparkSession
+    if len(queries.select("query_id").limit(FEW_QUERIES + 1).collect()) <= FEW_QUERIES:
+        rows = pool.limit(FEW_CANDIDATES + 1).toArrow()
+        if len(rows) <= FEW_CANDIDATES:
+            return spark.createDataFrame(rows, pool.schema), rows["cosine"].null_count
+    stored = Scratch(spark, "pool").write(pool)
+    return stored, stored.where(F.col("cosine").isNull()).count()
+
+
 def search_hybrid(corpus: DataFrame, queries: DataFrame, k: int, index: TermIndex | None = None) -> DataFrame:
     """Top k by cosine plus a bounded keyword boost; fusion breaks ties.
 
@@ -225,11 +243,10 @@ def search_hybrid(corpus: DataFrame, queries: DataFrame, k: int, index: TermInde
     """
     cut = pool_size(_checked(k))
     pool = fuse(vector_candidates(corpus, queries, cut), lexical_candidates(corpus, queries, cut, index))
-    pool = Scratch(corpus.sparkSession, "pool").write(pool)
+    pool, n = _kept(pool, queries)
     known = pool.where(F.col("cosine").isNotNull())
     # What only its words have found gets its cosine by two joins on ids; all else has it from the matrix product.
     missing = pool.where(F.col("cosine").isNull()).drop("cosine")
-    n = missing.count()
     if n:
         found = F.broadcast(missing) if n <= BROADCAST_POOL else missing
         missing = corpus.select("source_name", "id", "vector").join(found, ["source_name", "id"])

@@ -48,7 +48,27 @@ def _marked_runs(positions: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(x.as_py() or (), dtype=np.int64) for x in column]
+    return [np.zeros(0, np.int64) if x.values is None else x.values.to_numpy().astype(np.int64) for x in column]
+
+
+def _cut(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
+    """Results of a batch (text_key, text, copies, windows), a slice at a time, so that no batch of texts is held twice."""
+    copies, gone = batch.column("copies").to_numpy(), _lists(batch.column("windows"))
+    for words in slices(batch.column("text")):
+        rows: list[tuple] = []
+        own = batch.slice(words.rows.start, len(words.rows))
+        for k, row in enumerate(words.rows):
+            low, n = int(words.first[k]), int(words.counts[k])
+            span = words.starts[low : low + n], words.ends[low : low + n]
+            removed = np.ones(n, dtype=bool) if copies[row] > 1 and n >= window else _marked_runs(gone[row], window, n)
+            kept = b" ".join(words.data[a:b].tobytes() for a, b in zip(span[0][~removed], span[1][~removed], strict=True))
+            lost = int(removed.sum())
+            rows.append((n, lost, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if lost else None))
+        columns = list(zip(*rows, strict=True))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        made[3] = pa.array([t if r is None else r for r, t in zip(columns[3], own.column("text").to_pylist(), strict=True)], pa.string())
+        yield pa.RecordBatch.from_arrays([own.column("text_key").cast(pa.binary()), *made], names=["text_key", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -112,21 +132,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copies, gone = batch.column("copies").to_numpy(), _lists(batch.column("windows"))
-            rows: list[tuple] = []
-            for words in slices(batch.column("text")):
-                for k, row in enumerate(words.rows):
-                    low, n = int(words.first[k]), int(words.counts[k])
-                    span = words.starts[low : low + n], words.ends[low : low + n]
-                    removed = np.ones(n, dtype=bool) if copies[row] > 1 and n >= window else _marked_runs(gone[row], window, n)
-                    kept = b" ".join(words.data[a:b].tobytes() for a, b in zip(span[0][~removed], span[1][~removed], strict=True))
-                    lost = int(removed.sum())
-                    rows.append((n, lost, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if lost else None))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            made[3] = pa.array([t if r is None else r for r, t in zip(columns[3], batch.column("text").to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("text_key").cast(pa.binary()), *made], names=["text_key", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield from _cut(batch, window)
 
     joined = texts.join(double, "tid", "left").select("text_key", "text", "copies", "windows")
     results = joined.mapInArrow(cut, "text_key binary, n_words long, n_removed long, kept_sha256 string, kept_text string")

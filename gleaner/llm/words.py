@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text that one slice holds, unless a single text is longer.
 SLICE_BYTES = 2 << 20
+#: Bytes hashed at once, unless a word is longer: the sums and powers take 8 bytes for each.
+BLOCK_BYTES = (1 << 18) - 1
 _BASES = (0x9E3779B97F4A7C15 & ~7 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 5)  # 5 modulo 8: powers repeat late
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -102,7 +104,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, rows: range, lower: bool, brea
     hashes = np.empty(len(starts), dtype=np.uint64)
     k = 0
     while k < len(starts):  # words by blocks of bytes, so that a long text needs no long arrays
-        upto = max(k + 1, int(np.searchsorted(ends, starts[k] + SLICE_BYTES, side="right")))
+        upto = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK_BYTES, side="right")))
         a, b = int(starts[k]), int(ends[upto - 1])
         power, inverse = _powers(b - a + 1)
         sums = np.zeros(b - a + 1, dtype=np.uint64)

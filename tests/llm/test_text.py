@@ -1,6 +1,7 @@
 """Near duplicates, substrings, licenses, packing, quality."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -40,6 +41,36 @@ def test_long_texts_go_by_blocks(monkeypatch):
     assert (whole.hashes == parts.hashes).all()
 
 
+def test_words_of_a_slice_take_little_memory(monkeypatch):
+    """Blocks of any size give the same hashes, and a slice takes less than 32 times its bytes, powers included."""
+    column = pa.array(["one two three " * 140_000 + "x" * 300_000])
+    monkeypatch.setattr(wd, "_POWERS", {})
+    tracemalloc.start()
+    try:
+        (words,) = wd.slices(column)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 * wd.SLICE_BYTES
+    for block in (1_000, 1 << 23):
+        monkeypatch.setattr(wd, "BLOCK_BYTES", block)
+        (again,) = wd.slices(column)
+        assert (again.hashes == words.hashes).all()
+
+
+def test_cut_goes_by_slices(monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + k) % 50}" for k in range(60)) for i in range(40)]
+    hits = [[3, 10] if i % 3 == 0 else None for i in range(40)]
+    columns = {"text_key": pa.array([b"%d" % i for i in range(40)]), "text": pa.array(texts), "copies": pa.array([1 + (i == 5) for i in range(40)], pa.int64()), "windows": pa.array(hits, pa.list_(pa.int32()))}
+    batch = pa.RecordBatch.from_pydict(columns)
+    (whole,) = substring._cut(batch.slice(1), 35)
+    monkeypatch.setattr(wd, "SLICE_BYTES", 1_000)
+    parts = list(substring._cut(batch.slice(1), 35))
+    assert len(parts) > 5 and pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+    assert whole.column("n_removed").to_pylist() == [60 if i == 5 else 42 if i % 3 == 0 else 0 for i in range(1, 40)]
+    assert [t for t, n in zip(whole.column("kept_text").to_pylist(), whole.column("n_removed").to_pylist(), strict=True) if not n] == [t for i, t in enumerate(texts) if i % 3 and i != 5]
+
+
 def test_window_hashes_tell_windows_apart():
     h = wd.mix(np.arange(1, 9, dtype=np.uint64))
     seq = np.concatenate([h, h, h[::-1]])
